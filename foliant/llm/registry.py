@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import split
+from foliant.llm import leaks, packing, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": split.p4_found,
     "p4_pieces": split.p4_pieces,
+    "p6_found": packing.p6_found,
+    "p6_windows": packing.p6_windows,
+    "p7_found": leaks.p7_found,
+    "p7_report": leaks.p7_report,
 }
 SQL: dict[str, str] = {}
 
