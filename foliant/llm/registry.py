@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import leaks, packing, split
+from foliant.llm import leaks, near_dups, packing, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": near_dups.p1_found,
+    "p1_classes": near_dups.p1_classes,
     "p4_found": split.p4_found,
     "p4_pieces": split.p4_pieces,
     "p6_found": packing.p6_found,
