@@ -17,15 +17,18 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.common import cut_lineage, latest, read_table
-from foliant.llm.hashing import mix, run_hashes, texts_of, word_hashes
+from foliant.llm.hashing import distinct, distinct_counts, mix, run_hashes, texts_of, word_hashes
 
 RUN, THRESHOLD, MIN_WORDS = 3, Fraction(3, 5), 20
 RANKED_WORDS = 1 << 16  # words whose exact counts order the sets; all others count as rare. Bounds what is broadcast
 EXPANDED = 32  # copies up to which a class is spelled out in pairs; more copies are linked to two members of their class
+HUGE = (1 << 24) - 1  # set sizes from here on are not told apart in postings
+FILTER_BITS = 1 << 25  # of the fixed-size filter over sets in hopeful pairs (4 MB)
 _M40, _M32 = np.uint64((1 << 40) - 1), np.uint64((1 << 32) - 1)
 
 
@@ -34,7 +37,7 @@ def word_ranks(texts: DataFrame, keep: int = RANKED_WORDS) -> tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, counts = np.unique(np.concatenate([word_hashes(t)[0] for _, _, t in texts_of(batch, "text")] or [np.zeros(0, np.uint64)]), return_counts=True)
+            words, counts = distinct_counts(np.concatenate([word_hashes(t)[0] for _, _, t in texts_of(batch, "text")] or [np.zeros(0, np.uint64)]))
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
 
     counts = texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -57,7 +60,7 @@ def ordered_sets(texts: list[str | None], ranks: tuple[np.ndarray, np.ndarray],
     top = run * (np.log2(counts.max() + 1.0) if len(counts) else 1.0)
     key = (np.minimum(255, weight / top * 255).astype(np.uint64) << np.uint64(32)) | (g & _M32)
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(gat))
-    both = np.unique((doc << np.uint64(40)) | key)
+    both = distinct((doc << np.uint64(40)) | key)
     return both & _M40, np.searchsorted(both, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(40)), np.diff(at)
 
 
@@ -129,60 +132,80 @@ def tree_overlaps(query: list[bytes], other: list[bytes], t: Fraction) -> np.nda
     return out
 
 
-def text_classes(texts: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(``texts``' columns but text, class, n, members): rows with fewer words have a null class. ``texts``: text and ids."""
-    spark = texts.sparkSession
+def _sets(batch: pa.RecordBatch, ranks: tuple[np.ndarray, np.ndarray], run: int, min_words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, members, offsets, class, too short) of parts of a batch."""
+    for a, b, part in texts_of(batch, "text"):
+        keys, at, words = ordered_sets(part, ranks, run)
+        n = np.diff(at)
+        total = np.concatenate([[0], np.cumsum(mix(keys))]).astype(np.uint64)
+        yield a, b, keys, at, mix((total[at[1:]] - total[at[:-1]]) ^ n.astype(np.uint64)).view(np.int64), (words < min_words) | (n == 0)
+
+
+def text_classes(texts: DataFrame, ranks: Broadcast, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+    """(``texts``' columns but text, class): the same class for the same set; null for texts with fewer words."""
     ids = [c for c in texts.columns if c != "text"]
-    ranks = spark.sparkContext.broadcast(word_ranks(texts))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, part in texts_of(batch, "text"):
-                keys, at, words = ordered_sets(part, ranks.value, run)
-                n = np.diff(at)
-                total = np.concatenate([[0], np.cumsum(mix(keys))]).astype(np.uint64)
-                cls = mix((total[at[1:]] - total[at[:-1]]) ^ n.astype(np.uint64)).view(np.int64)
-                short = (words < min_words) | (n == 0)
-                blobs = [None if s else pack40(keys[i:j]) for s, i, j in zip(short, at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ids], pa.array(cls, mask=short), pa.array(n.astype(np.int32)), pa.array(blobs, pa.binary())], [*ids, "class", "n", "members"])
+            for a, b, _, _, cls, short in _sets(batch, ranks.value, run, min_words):
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ids], pa.array(cls, mask=short)], [*ids, "class"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop("text").schema)
-    return texts.mapInArrow(go, f"{kept}, class long, n int, members binary")
+    return texts.mapInArrow(go, f"{kept}, class long")
 
 
-def similar_classes(classes: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """(class_1, class_2, overlap, similarity), class_1 < class_2, of different sets, from rows (class, n, members) that may repeat."""
+def similar_classes(texts: DataFrame, ranks: Broadcast, threshold: Fraction = THRESHOLD, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+    """(class_1, class_2, overlap, similarity), class_1 < class_2, of different similar sets among rows (text)."""
     t = Fraction(threshold)
+    p, q = t.numerator, t.denominator
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies in one task; bounded by the task's own input
-        for batch in batches:
-            new = [i for i, c in enumerate(batch.column(0).to_pylist()) if c not in seen and not seen.add(c)]
-            yield batch.take(pa.array(new, pa.int64()))
-
-    rows = classes.where(F.col("class").isNotNull()).select("class", "n", "members").mapInArrow(once, "class long, n int, members binary")
-    sets = rows.dropDuplicates(["class"])
-
+    # A posting is (hash of the member, 40 bits of the class and 24 of the set's size): as few bytes as possible,
+    # since this is what grows most. Clashes of either hash only add pairs that the verification drops.
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies within a task are posted once; bounded by the task's own input
         for batch in batches:
-            keys, at = unpack40(batch.column("members").to_pylist())
-            n = np.diff(at)
-            p = head_size(n, t)
-            i = np.repeat(np.arange(len(n)), p)
-            token = (keys[np.arange(p.sum()) + np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(p)[:-1]]), p)] & _M32).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(token), batch.column("class").take(pa.array(i)), pa.array(n[i].astype(np.int32))], ["token", "class", "n"])
-
-    posts = sets.mapInArrow(post, "token int, class long, n int")
-    a, b = (posts.select("token", F.col("class").alias(f"class_{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
-    p, q = t.numerator, t.denominator
-    fits = (F.col("class_1") < F.col("class_2")) & (F.least("n1", "n2") * q >= F.greatest("n1", "n2") * p)
-    joined = a.join(b, "token").where(fits)
-    shared = joined.groupBy("class_1", "class_2").agg(F.count("*").alias("m"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    least = F.ceil((F.col("n1") + F.col("n2")) * p / (p + q) - 1e-9)
-    rest = lambda n: F.ceil(F.col(n) * p / q - 1e-9) - 1  # noqa: E731  what stands behind the head
-    hopeful = shared.where(F.col("m") + F.least(rest("n1"), rest("n2")) >= least).select("class_1", "class_2")
-    x, y = (sets.select(F.col("class").alias(f"class_{i}"), F.col("members").alias(f"members_{i}")) for i in (1, 2))
-    pairs = hopeful.join(x, "class_1").join(y, "class_2")
+            for _, _, keys, at, cls, short in _sets(batch, ranks.value, run, min_words):
+                new = np.array([not s and c not in seen and not seen.add(c) for c, s in zip(cls.tolist(), short.tolist(), strict=True)], bool)
+                n = np.where(new, np.diff(at), 0)
+                h = np.where(new, head_size(n, t), 0)
+                i = np.repeat(np.arange(len(n)), h)
+                token = (keys[np.arange(h.sum()) + np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(h)[:-1]]), h)] & _M32).astype(np.uint32).view(np.int32)
+                packed = ((cls.view(np.uint64) << np.uint64(24)) | np.minimum(n, HUGE).astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(packed[i])], ["token", "set"])
+
+    posts = texts.select("text").mapInArrow(post, "token int, set long").repartition("token").dropDuplicates(["token", "set"])
+    a, b = (posts.select("token", F.col("set").alias(f"set_{i}")) for i in (1, 2))
+    n1, n2 = (F.col(f"set_{i}").bitwiseAND(HUGE) for i in (1, 2))
+    huge = F.greatest(n1, n2) == HUGE  # the size isn't known exactly: no bound holds
+    fits = (F.col("set_1") < F.col("set_2")) & (huge | (F.least(n1, n2) * q >= F.greatest(n1, n2) * p))
+    shared = a.join(b, "token").where(fits).groupBy("set_1", "set_2").agg(F.count("*").alias("m"))
+    # what stands behind the heads can't make up for too small a shared part of them
+    rest = F.ceil(F.least(n1, n2) * p / q - 1e-9) - 1
+    hopeful = shared.where(huge | (F.col("m") + rest >= F.ceil((n1 + n2) * p / (p + q) - 1e-9)))
+    short = lambda c: F.shiftrightunsigned(F.col(c), 24)
+    hopeful = cut_lineage(hopeful.select(short("set_1").alias("short_1"), short("set_2").alias("short_2")))
+
+    # sets are read again for those in hopeful pairs: a filter of fixed size keeps most others out of the shuffle
+    ends = hopeful.select(F.explode(F.array("short_1", "short_2")).alias("s"))
+    words = ends.select(F.pmod("s", F.lit(FILTER_BITS)).alias("b")).groupBy(F.shiftright("b", 5).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 32 AS int)))").alias("v"))
+    table = np.zeros(FILTER_BITS // 32, np.uint32)
+    got = words.toPandas()
+    table[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64).astype(np.uint32)
+    wanted = texts.sparkSession.sparkContext.broadcast(table)
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, _, keys, at, cls, short in _sets(batch, ranks.value, run, min_words):
+                low = (cls.view(np.uint64) << np.uint64(24)) >> np.uint64(24)
+                b = (low % np.uint64(FILTER_BITS)).astype(np.int64)
+                keep = ((wanted.value[b >> 5] >> (b & 31).astype(np.uint32)) & 1).astype(bool) & ~short
+                i = np.array([j for j in np.flatnonzero(keep) if cls[j] not in seen and not seen.add(cls[j])], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(low[i].view(np.int64)), pa.array(cls[i]), pa.array([pack40(keys[at[j] : at[j + 1]]) for j in i], pa.binary())], ["short", "class", "members"])
+
+    sets = texts.select("text").mapInArrow(load, "short long, class long, members binary").repartition("short").dropDuplicates(["short", "class"])
+    x, y = (sets.select(*[F.col(c).alias(f"{c}_{i}") for c in sets.columns]) for i in (1, 2))
+    pairs = hopeful.join(x, "short_1").join(y, "short_2")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +217,8 @@ def similar_classes(classes: DataFrame, threshold: Fraction = THRESHOLD) -> Data
                 union = np.array([(len(one[i]) + len(two[i])) // 5 for i in at], np.int64) - got[at]
                 yield pa.RecordBatch.from_arrays([part.column("class_1").take(pa.array(at)), part.column("class_2").take(pa.array(at)), pa.array(got[at]), pa.array(got[at] / np.maximum(union, 1))], ["class_1", "class_2", "overlap", "similarity"])
 
-    return pairs.select("class_1", "class_2", "members_1", "members_2").mapInArrow(verify, "class_1 long, class_2 long, overlap long, similarity double")
+    done = pairs.select("class_1", "class_2", "members_1", "members_2").mapInArrow(verify, "class_1 long, class_2 long, overlap long, similarity double")
+    return done.select(F.least("class_1", "class_2").alias("class_1"), F.greatest("class_1", "class_2").alias("class_2"), "overlap", "similarity")
 
 
 def near_duplicates(chunks: DataFrame, metadata: DataFrame, threshold: Fraction = THRESHOLD, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -205,11 +229,13 @@ def near_duplicates(chunks: DataFrame, metadata: DataFrame, threshold: Fraction
     latest row isn't level 2 or has fewer than ``min_words`` words (null and empty content), and those without a
     metadata row or with a null document_id or chunk_id.
     """
-    rows = text_classes(chunks.select("chunk_id", "level", "ingested_at", F.col("content").alias("text")), run, min_words)
-    thin = latest(rows.select("chunk_id", "level", "ingested_at", "class"), ["chunk_id"], "ingested_at", [F.col("class").asc_nulls_last(), F.col("level")])
+    texts = chunks.select("chunk_id", "level", "ingested_at", F.col("content").alias("text"))
+    ranks = chunks.sparkSession.sparkContext.broadcast(word_ranks(texts))
+    rows = text_classes(texts, ranks, run, min_words)
+    thin = latest(rows, ["chunk_id"], "ingested_at", [F.col("class").asc_nulls_last(), F.col("level")])
     book = latest(metadata.select("chunk_id", "document_id", "ingested_at"), ["chunk_id"], "ingested_at").drop("ingested_at")
     members = thin.where("level = 2 AND class IS NOT NULL").select("chunk_id", "class").join(book.where("document_id IS NOT NULL"), "chunk_id")
-    return members, similar_classes(rows.where("level = 2"), threshold)
+    return members, similar_classes(texts.where("level = 2"), ranks, threshold, run, min_words)
 
 
 def expand(members: DataFrame, links: DataFrame, limit: int = EXPANDED) -> DataFrame:
