@@ -17,7 +17,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,42 +25,64 @@ from foliant.common import cut_lineage, latest, read_table
 from foliant.llm.hashing import distinct, distinct_counts, mix, run_hashes, texts_of, word_hashes
 
 RUN, THRESHOLD, MIN_WORDS = 3, Fraction(3, 5), 20
-RANKED_WORDS = 1 << 16  # words whose exact counts order the sets; all others count as rare. Bounds what is broadcast
+COUNTER_BITS = 22  # 2^22 counters order the word runs by rarity; 4 MB are broadcast, whatever the data
+SLICES, FAN = 64, 64
+SHARED = 3  # members that the heads of two similar sets must share; each takes heads longer by one
 EXPANDED = 32  # copies up to which a class is spelled out in pairs; more copies are linked to two members of their class
 HUGE = (1 << 24) - 1  # set sizes from here on are not told apart in postings
 FILTER_BITS = 1 << 25  # of the fixed-size filter over sets in hopeful pairs (4 MB)
 _M40, _M32 = np.uint64((1 << 40) - 1), np.uint64((1 << 32) - 1)
 
 
-def word_ranks(texts: DataFrame, keep: int = RANKED_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted word hashes, counts) of the ``keep`` most frequent words over all texts."""
+def run_counts(texts: DataFrame, run: int, bits: int = COUNTER_BITS) -> np.ndarray:
+    """Logarithms, as 8 bits, of 2^bits counters over the word runs of all texts; runs share counters by hash.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, counts = distinct_counts(np.concatenate([word_hashes(t)[0] for _, _, t in texts_of(batch, "text")] or [np.zeros(0, np.uint64)]))
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+    Any function of the run alone gives a valid global order; this one puts rare runs first. Tasks emit their
+    counters in slices, which are added up in groups of at most FAN, level by level, so no task gets more.
+    """
+    width, slices = (1 << bits) // SLICES, SLICES
+    shift = np.uint64(64 - bits)
 
-    counts = texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(keep).toPandas()
-    order = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
-    return top["word"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for _, _, part in texts_of(batch, "text"):
+                g, _ = run_hashes(*word_hashes(part), run)
+                if len(g):
+                    slots, m = distinct_counts(g >> shift)
+                    n[slots.astype(np.int64)] += m.astype(np.uint32)
+        for i in range(slices):
+            part = n[i * width : (i + 1) * width]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "task", "n"])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.uint64)
+        for x in table["n"]:
+            total += np.frombuffer(x.as_buffer(), np.uint32)
+        total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "slice int, task int, n binary"
+    sums, tasks = texts.select("text").mapInArrow(count, schema), texts.rdd.getNumPartitions()
+    while True:
+        sums = sums.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("slice", "task").applyInArrow(add, schema)
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
+    out = np.zeros(1 << bits, np.uint8)
+    for i, n in sums.select("slice", "n").toLocalIterator():
+        out[i * width : (i + 1) * width] = np.minimum(255, np.log2(np.maximum(np.frombuffer(n, np.uint32), 1)) * 8)
+    return out
 
 
-def ordered_sets(texts: list[str | None], ranks: tuple[np.ndarray, np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ordered_sets(texts: list[str | None], counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted 40-bit members of all texts, offsets by text, words by text). 8 bits of rarity stand above 32 of hash."""
     h, at = word_hashes(texts)
-    words, counts = ranks
-    log = np.zeros(len(h), np.float32)
-    if len(words):
-        place = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        log = np.where(words[place] == h, np.log2(counts + 1.0).astype(np.float32)[place], 0)
     g, gat = run_hashes(h, at, run)
-    first = np.arange(len(g)) + np.repeat(at[:-1] - gat[:-1], np.diff(gat))
-    weight = sum(log[first + j] for j in range(run)) if len(g) else np.zeros(0)
-    top = run * (np.log2(counts.max() + 1.0) if len(counts) else 1.0)
-    key = (np.minimum(255, weight / top * 255).astype(np.uint64) << np.uint64(32)) | (g & _M32)
+    weight = counts[(g >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)].astype(np.uint64)
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(gat))
-    both = distinct((doc << np.uint64(40)) | key)
+    both = distinct((doc << np.uint64(40)) | (weight << np.uint64(32)) | (g & _M32))
     return both & _M40, np.searchsorted(both, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(40)), np.diff(at)
 
 
@@ -83,7 +105,8 @@ def needed(na, nb, t: Fraction):
 
 
 def head_size(n, t: Fraction):
-    return n - -(-(t.numerator * n) // t.denominator) + 1
+    """Members of a set of size n of which a similar set must have SHARED in its own head (or all it needs to)."""
+    return np.minimum(n, n - -(-(t.numerator * n) // t.denominator) + SHARED)
 
 
 def tree_overlaps(query: list[bytes], other: list[bytes], t: Fraction) -> np.ndarray:
@@ -132,12 +155,12 @@ def tree_overlaps(query: list[bytes], other: list[bytes], t: Fraction) -> np.nda
     return out
 
 
-def _sets(batch: pa.RecordBatch, ranks: tuple[np.ndarray, np.ndarray], run: int, min_words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, ranks: np.ndarray, run: int, min_words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(from, to, members, offsets, class, too short) of parts of a batch."""
     for a, b, part in texts_of(batch, "text"):
         keys, at, words = ordered_sets(part, ranks, run)
         n = np.diff(at)
-        total = np.concatenate([[0], np.cumsum(mix(keys))]).astype(np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(keys))])
         yield a, b, keys, at, mix((total[at[1:]] - total[at[:-1]]) ^ n.astype(np.uint64)).view(np.int64), (words < min_words) | (n == 0)
 
 
@@ -169,19 +192,20 @@ def similar_classes(texts: DataFrame, ranks: Broadcast, threshold: Fraction = TH
                 n = np.where(new, np.diff(at), 0)
                 h = np.where(new, head_size(n, t), 0)
                 i = np.repeat(np.arange(len(n)), h)
-                token = (keys[np.arange(h.sum()) + np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(h)[:-1]]), h)] & _M32).astype(np.uint32).view(np.int32)
+                pos = np.arange(h.sum()) - np.repeat(np.concatenate([[0], np.cumsum(h)[:-1]]), h)
+                token = (keys[pos + np.repeat(at[:-1], h)] & _M32).astype(np.uint32).view(np.int32)
                 packed = ((cls.view(np.uint64) << np.uint64(24)) | np.minimum(n, HUGE).astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(packed[i])], ["token", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(packed[i]), pa.array(pos.astype(np.int32))], ["token", "set", "pos"])
 
-    posts = texts.select("text").mapInArrow(post, "token int, set long").repartition("token").dropDuplicates(["token", "set"])
-    a, b = (posts.select("token", F.col("set").alias(f"set_{i}")) for i in (1, 2))
+    posts = texts.select("text").mapInArrow(post, "token int, set long, pos int").repartition("token").dropDuplicates(["token", "set"])
+    a, b = (posts.select("token", F.col("set").alias(f"set_{i}"), F.col("pos").alias(f"pos_{i}")) for i in (1, 2))
     n1, n2 = (F.col(f"set_{i}").bitwiseAND(HUGE) for i in (1, 2))
     huge = F.greatest(n1, n2) == HUGE  # the size isn't known exactly: no bound holds
-    fits = (F.col("set_1") < F.col("set_2")) & (huge | (F.least(n1, n2) * q >= F.greatest(n1, n2) * p))
-    shared = a.join(b, "token").where(fits).groupBy("set_1", "set_2").agg(F.count("*").alias("m"))
-    # what stands behind the heads can't make up for too small a shared part of them
-    rest = F.ceil(F.least(n1, n2) * p / q - 1e-9) - 1
-    hopeful = shared.where(huge | (F.col("m") + rest >= F.ceil((n1 + n2) * p / (p + q) - 1e-9)))
+    least = F.ceil((n1 + n2) * p / (p + q) - 1e-9)
+    # with `least` members in common, the SHARED-th of them leaves room for the others behind it
+    room = (F.least(n1, n2) * q >= F.greatest(n1, n2) * p) & (F.col("pos_1") < n1 - least + SHARED) & (F.col("pos_2") < n2 - least + SHARED)
+    shared = a.join(b, "token").where((F.col("set_1") < F.col("set_2")) & (huge | room)).groupBy("set_1", "set_2").agg(F.count("*").alias("m"))
+    hopeful = shared.where(huge | (F.col("m") >= F.least(F.lit(SHARED), least)))
     short = lambda c: F.shiftrightunsigned(F.col(c), 24)
     hopeful = cut_lineage(hopeful.select(short("set_1").alias("short_1"), short("set_2").alias("short_2")))
 
@@ -230,7 +254,7 @@ def near_duplicates(chunks: DataFrame, metadata: DataFrame, threshold: Fraction
     metadata row or with a null document_id or chunk_id.
     """
     texts = chunks.select("chunk_id", "level", "ingested_at", F.col("content").alias("text"))
-    ranks = chunks.sparkSession.sparkContext.broadcast(word_ranks(texts))
+    ranks = chunks.sparkSession.sparkContext.broadcast(run_counts(texts, run))
     rows = text_classes(texts, ranks, run, min_words)
     thin = latest(rows, ["chunk_id"], "ingested_at", [F.col("class").asc_nulls_last(), F.col("level")])
     book = latest(metadata.select("chunk_id", "document_id", "ingested_at"), ["chunk_id"], "ingested_at").drop("ingested_at")
