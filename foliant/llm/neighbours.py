@@ -2,8 +2,8 @@
 
 Method: a permutation index. A bounded sample of the vectors are pivots; each vector is represented by its nearest
 pivots in order and posted in the inverted files of the first few. Within a file, vectors are ranked by the footrule
-distance of their pivot orders, those near enough are compared by their cosine over 8-bit coordinates, and the
-neighbours left are reranked by the exact cosine.
+distance of their pivot orders, those near enough are compared by their cosine over 6-bit coordinates, and the
+neighbours left are reranked by the cosine over 16-bit ones, which is within 1e-5 of the exact one.
 
 Pivots are drawn from the data, so dense regions get more of them and files stay about as long as one another; a file
 that the sample shows to be long all the same is compared in blocks. Equal vectors are one class up to the result.
@@ -27,7 +27,7 @@ FILE = 512  # vectors to a pivot; the pivots are a sample of one in so many vect
 MOST_PIVOTS = 8192  # and at most so many (12 MB)
 FOOTRULE = 0.9  # share of the largest footrule distance up to which pairs are compared
 BLOCK = 6144  # members of a file in one block
-SLACK = 0.012  # what 8-bit coordinates may change of a cosine
+SLACK = 0.012  # what 6-bit coordinates may change of a cosine
 FILTER_BITS = 1 << 25
 _PRIME = np.random.Generator(np.random.PCG64(3)).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -76,6 +76,22 @@ def _unary(orders: np.ndarray, k: int) -> np.ndarray:
     return out.reshape(len(orders), -1)
 
 
+def pack6(x: np.ndarray) -> np.ndarray:
+    """Vectors as 6 bits a coordinate, up to a factor; their dimension must be a multiple of 4."""
+    scale = np.abs(x).max(axis=1, keepdims=True, initial=1e-30)
+    q = (np.rint(x / scale * 31) + 32).astype(np.uint32).reshape(len(x), -1, 4)
+    word = q[..., 0] | (q[..., 1] << 6) | (q[..., 2] << 12) | (q[..., 3] << 18)
+    return np.ascontiguousarray(word).view(np.uint8).reshape(len(x), -1, 4)[..., :3].reshape(len(x), -1)
+
+
+def unpack6(raw: np.ndarray) -> np.ndarray:
+    """Unit vectors of pack6's rows."""
+    b = raw.reshape(len(raw), -1, 3).astype(np.uint32)
+    word = b[..., 0] | (b[..., 1] << 8) | (b[..., 2] << 16)
+    x = np.stack([(word >> s) & 63 for s in (0, 6, 12, 18)], axis=-1).reshape(len(raw), -1).astype(np.float32) - 32
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def compare_blocks(orders: np.ndarray, vectors: np.ndarray, split: int, near: float, least: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of one file, or of its first ``split`` members with the others, whose footrule distance is at most
     ``near`` of the largest and whose cosine is at least ``least``, if either is among the ``keep`` nearest of the other."""
@@ -163,9 +179,7 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
             new = np.array([i for i, c in enumerate(cls.tolist()) if known[i] and c not in seen and not seen.add(c)], np.int64)
             x, cls = x[new], cls[new]
             o = _pivot_orders(x, pivots, k_order)
-            scale = np.abs(x).max(axis=1, keepdims=True) if len(x) else np.ones((0, 1), np.float32)
-            code = np.rint(x / scale * 127).astype(np.int8)
-            vec = [c.tobytes() for c in code]
+            vec = [c.tobytes() for c in pack6(x)]
             perm = [p.tobytes() for p in o.astype(np.uint16)]
             for j in range(m):
                 nb = blocks[o[:, j]]
@@ -185,16 +199,16 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
         cls = cls[one]
         cut = int((~table["second"].to_numpy(zero_copy_only=False)[one]).sum()) if split else 0
         perm = np.frombuffer(b"".join(table["perm"].to_pylist()), np.uint16).reshape(-1, k_order)[one]
-        vec = np.frombuffer(b"".join(table["vec"].to_pylist()), np.int8).reshape(-1, dim)[one].astype(np.float32)
-        vec /= np.sqrt((vec * vec).sum(axis=1, keepdims=True))
+        vec = unpack6(np.frombuffer(b"".join(table["vec"].to_pylist()), np.uint8).reshape(-1, dim * 3 // 4)[one])
         if split and cut in (0, len(cls)):
             x = y = np.zeros(0, np.int64)
         else:
             x, y = compare_blocks(perm, vec, cut, FOOTRULE, least - SLACK, 2 * k)
-        return pa.table({"class_1": pa.array(np.minimum(cls[x], cls[y])), "class_2": pa.array(np.maximum(cls[x], cls[y]))})
+        return pa.table({"file": pa.array(np.full(len(x), key[0].as_py(), np.int64)), "class_1": pa.array(np.minimum(cls[x], cls[y])), "class_2": pa.array(np.maximum(cls[x], cls[y]))})
 
     posts = v.select("embedding").mapInArrow(post, "file long, class long, second boolean, perm binary, vec binary")
-    pairs = cut_lineage(posts.groupBy("file").applyInArrow(search, "class_1 long, class_2 long").distinct())
+    pairs = posts.groupBy("file").applyInArrow(search, "file long, class_1 long, class_2 long")
+    pairs = cut_lineage(pairs.groupBy("class_1", "class_2").agg(F.min("file").alias("file")))
     needed = spark.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("class_1", "class_2")).alias("class"))))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,19 +218,25 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
             cls = _classes(x)
             known = _may_hold(needed.value, cls)
             i = np.array([i for i, c in enumerate(cls.tolist()) if known[i] and c not in seen and not seen.add(c)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array([r.tobytes() for r in x[i]], pa.binary())], ["class", "vec"])
-
-    exact = v.select("embedding").mapInArrow(load, "class long, vec binary").repartition("class").dropDuplicates(["class"])
-    a, b = (exact.select(F.col("class").alias(f"class_{i}"), F.col("vec").alias(f"vec_{i}")) for i in (1, 2))
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(-1, dim).astype(np.float64) for c in ("vec_1", "vec_2"))
-            s = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column("class_1"), batch.column("class_2"), pa.array(np.minimum(1.0, s))], ["class", "other", "similarity"])
-
-    done = pairs.join(a, "class_1").join(b, "class_2").select("class_1", "class_2", "vec_1", "vec_2").mapInArrow(rerank, "class long, other long, similarity double")
-    done = done.where(F.col("similarity") >= least - 1e-7)
+            big = np.abs(x[i]).max(axis=1, keepdims=True, initial=1e-30)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array([r.tobytes() for r in np.rint(x[i] / big * 32767).astype(np.int16)], pa.binary())], ["class", "vec"])
+
+    exact = v.select("embedding").mapInArrow(load, "class long, vec binary").dropDuplicates(["class"])
+    # the pairs of a file share their vectors: each is sent there once, not once a pair
+    members_of = pairs.select("file", F.explode(F.array("class_1", "class_2")).alias("class")).distinct()
+
+    def rerank(pair: pa.Table, vecs: pa.Table) -> pa.Table:
+        cls = vecs["class"].to_numpy()
+        o = np.argsort(cls)
+        x = np.frombuffer(b"".join(vecs["vec"].to_pylist()), np.int16).reshape(-1, dim)[o].astype(np.float32)
+        x /= np.sqrt((x.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+        one, two = pair["class_1"].to_numpy(), pair["class_2"].to_numpy()
+        i, j = np.searchsorted(cls[o], one), np.searchsorted(cls[o], two)
+        s = np.concatenate([(x[i[a : a + 4096]].astype(np.float64) * x[j[a : a + 4096]]).sum(axis=1) for a in range(0, len(i), 4096)] or [np.zeros(0)])
+        return pa.table({"class": one, "other": two, "similarity": np.minimum(1.0, s)})
+
+    done = pairs.groupBy("file").cogroup(members_of.join(exact, "class").groupBy("file")).applyInArrow(rerank, "class long, other long, similarity double")
+    done = done.where(F.col("similarity") >= least - 1e-6)
     alive = members.select("class").distinct()
     done = done.join(alive, "class", "left_semi").join(alive.withColumnRenamed("class", "other"), "other", "left_semi")
     return members, done.select("class", "other", "similarity").unionByName(done.select(F.col("other").alias("class"), F.col("class").alias("other"), "similarity"))
