@@ -223,7 +223,7 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
 
     exact = v.select("embedding").mapInArrow(load, "class long, vec binary").dropDuplicates(["class"])
     # the pairs of a file share their vectors: each is sent there once, not once a pair
-    members_of = pairs.select("file", F.explode(F.array("class_1", "class_2")).alias("class")).distinct()
+    members_of = pairs.select(F.col("file").alias("at"), F.explode(F.array("class_1", "class_2")).alias("class")).distinct()
 
     def rerank(pair: pa.Table, vecs: pa.Table) -> pa.Table:
         cls = vecs["class"].to_numpy()
@@ -235,7 +235,7 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
         s = np.concatenate([(x[i[a : a + 4096]].astype(np.float64) * x[j[a : a + 4096]]).sum(axis=1) for a in range(0, len(i), 4096)] or [np.zeros(0)])
         return pa.table({"class": one, "other": two, "similarity": np.minimum(1.0, s)})
 
-    done = pairs.groupBy("file").cogroup(members_of.join(exact, "class").groupBy("file")).applyInArrow(rerank, "class long, other long, similarity double")
+    done = pairs.groupBy("file").cogroup(members_of.join(exact, "class").groupBy("at")).applyInArrow(rerank, "class long, other long, similarity double")
     done = done.where(F.col("similarity") >= least - 1e-6)
     alive = members.select("class").distinct()
     done = done.join(alive, "class", "left_semi").join(alive.withColumnRenamed("class", "other"), "other", "left_semi")
