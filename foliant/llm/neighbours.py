@@ -239,7 +239,8 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
     done = done.where(F.col("similarity") >= least - 1e-6)
     alive = members.select("class").distinct()
     done = done.join(alive, "class", "left_semi").join(alive.withColumnRenamed("class", "other"), "other", "left_semi")
-    return members, done.select("class", "other", "similarity").unionByName(done.select(F.col("other").alias("class"), F.col("class").alias("other"), "similarity"))
+    done = cut_lineage(done.select("class", "other", "similarity"))  # used twice, so that it isn't made twice
+    return members, done.unionByName(done.select(F.col("other").alias("class"), F.col("class").alias("other"), "similarity"))
 
 
 def _filter(classes: DataFrame) -> np.ndarray:
@@ -280,7 +281,7 @@ def nearest(members: DataFrame, links: DataFrame, k: int = K) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, links = similar_vectors(read_table(spark, sf_dir, "vectors"))
-    return nearest(members, cut_lineage(links))
+    return nearest(members, links)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
