@@ -263,6 +263,9 @@ def nearest(members: DataFrame, links: DataFrame, k: int = K) -> DataFrame:
     Equal vectors come first, by chunk_id; of equally similar chunk_ids those with the smaller id count. A class of many
     copies is represented by its k + 1 smallest ids, so each chunk_id gets at most k rows.
     """
+    linked = links.select("class").distinct()
+    copied = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+    members = members.join(linked.unionByName(copied).distinct(), "class", "left_semi")  # the others have no row
     salted = Window.partitionBy("class", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).orderBy("chunk_id")
     first = Window.partitionBy("class").orderBy("chunk_id")
     some = members.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
