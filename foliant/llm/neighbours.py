@@ -179,8 +179,8 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
             new = np.array([i for i, c in enumerate(cls.tolist()) if known[i] and c not in seen and not seen.add(c)], np.int64)
             x, cls = x[new], cls[new]
             o = _pivot_orders(x, pivots, k_order)
-            vec = [c.tobytes() for c in pack6(x)]
-            perm = [p.tobytes() for p in o.astype(np.uint16)]
+            both = np.concatenate([o.astype(np.uint16).view(np.uint8), pack6(x)], axis=1)
+            codes = pa.array([c.tobytes() for c in both], pa.binary())
             for j in range(m):
                 nb = blocks[o[:, j]]
                 own = (cls.view(np.uint64) % nb.astype(np.uint64)).astype(np.int64)
@@ -188,25 +188,24 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
                 t = np.arange(len(i)) - np.repeat(np.concatenate([[0], np.cumsum(nb)[:-1]]), nb) if len(i) else i
                 lo, hi = np.minimum(own[i], t), np.maximum(own[i], t)
                 key = (o[i, j].astype(np.int64) << 40) | (lo << 20) | hi
-                at = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[i]), pa.array(own[i] != lo), pa.array(perm, pa.binary()).take(at), pa.array(vec, pa.binary()).take(at)], ["file", "class", "second", "perm", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[i]), codes.take(pa.array(i))], ["file", "class", "code"])
 
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        cls = table["class"].to_numpy()
-        split = (key[0].as_py() >> 20) & 0xFFFFF != key[0].as_py() & 0xFFFFF
+        cls, file = table["class"].to_numpy(), key[0].as_py()
+        lo, split = (file >> 20) & 0xFFFFF, (file >> 20) & 0xFFFFF != file & 0xFFFFF
+        second = (cls.view(np.uint64) % np.uint64(shared.value[1][file >> 40])).astype(np.int64) != lo
         _, one = np.unique(cls, return_index=True)  # the same class from several tasks
-        one = one[np.argsort(table["second"].to_numpy(zero_copy_only=False)[one], kind="stable")] if split else one
-        cls = cls[one]
-        cut = int((~table["second"].to_numpy(zero_copy_only=False)[one]).sum()) if split else 0
-        perm = np.frombuffer(b"".join(table["perm"].to_pylist()), np.uint16).reshape(-1, k_order)[one]
-        vec = unpack6(np.frombuffer(b"".join(table["vec"].to_pylist()), np.uint8).reshape(-1, dim * 3 // 4)[one])
+        one = one[np.argsort(second[one], kind="stable")] if split else one
+        cls, cut = cls[one], int((~second[one]).sum()) if split else 0
+        code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(-1, 2 * k_order + dim * 3 // 4)[one]
+        perm, vec = np.ascontiguousarray(code[:, : 2 * k_order]).view(np.uint16), unpack6(code[:, 2 * k_order :])
         if split and cut in (0, len(cls)):
             x = y = np.zeros(0, np.int64)
         else:
             x, y = compare_blocks(perm, vec, cut, FOOTRULE, least - SLACK, 2 * k)
         return pa.table({"file": pa.array(np.full(len(x), key[0].as_py(), np.int64)), "class_1": pa.array(np.minimum(cls[x], cls[y])), "class_2": pa.array(np.maximum(cls[x], cls[y]))})
 
-    posts = v.select("embedding").mapInArrow(post, "file long, class long, second boolean, perm binary, vec binary")
+    posts = v.select("embedding").mapInArrow(post, "file long, class long, code binary")
     pairs = posts.groupBy("file").applyInArrow(search, "file long, class_1 long, class_2 long")
     pairs = cut_lineage(pairs.groupBy("class_1", "class_2").agg(F.min("file").alias("file")))
     needed = spark.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("class_1", "class_2")).alias("class"))))
