@@ -24,7 +24,7 @@ from foliant.common import cut_lineage, read_table
 from foliant.llm.hashing import texts_of
 
 CAPACITY, MAX_SEGMENTS = 8192, 64
-BLOCK = 20_000  # texts packed by one task at once
+BLOCK = 6_000  # texts packed by one task at once
 FILLED = 0.97  # windows below this share of the capacity are packed again
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-splitting pattern of the public byte-level vocabulary (fixed value).

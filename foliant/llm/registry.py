@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import leaks, near_dups, neighbours, packing, split
+from foliant.llm import leaks, near_dups, neighbours, packing, quality, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": near_dups.p1_found,
     "p1_classes": near_dups.p1_classes,
+    "p2_found": quality.p2_found,
+    "p2_statistics": quality.p2_statistics,
     "p3_found": neighbours.p3_found,
     "p3_neighbours": neighbours.p3_neighbours,
     "p4_found": split.p4_found,
