@@ -23,7 +23,7 @@ WORDS_A_PAGE = 300
 OUTLIER = 2.0  # least outlier score (sum of -ln of tail probabilities) of a candidate
 #: Function words by language (fixed values).
 COMMON = {
-    "en": "the of and a to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after called just where most know i you he any",
+    "en": "the of and a to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would into has more her two like could no than been its who now my made over did down only may very after called just where i you he any under even however whereas while although because until unless during between through against such both either neither nor upon within without",
     "de": "der die das und in den von zu ist im für auf mit sich dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn weil jeden jeder eigener der",
     "fr": "le la les de des du et un une est en que qui dans pour par sur au avec ce il ne se pas plus son sa ses mais ou où on sont nous vous leur être cette aux comme tout lorsque reste chaque après avant",
     "es": "el la los las de del y un una es en que por para con se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde cada antes durante después mantiene",
@@ -34,6 +34,7 @@ _TELLING = _ANY - frozenset("and or und et y e o oder ou".split())  # those that
 _END = re.compile(r"[.!?…。！？।][\"'”’»)\]*_]*\s*(?:[\[(][^\])]{1,20}[\])]\.?)?\s*$")
 _WORDLIKE = re.compile(r"(?<![^\s(\[\"'“‘«„¿¡*_/-])(?:[A-Za-zÄÖÜÉÈÀÁÍÓÚÑÇ][a-zäöüßéèêëàâáíóúñçîïôûùœæ’']{0,24}|[A-ZÄÖÜÉÈÀÁÍÓÚÑÇ]{2,25})(?![^\s.,;:!?)\]\"'”’»“…*_/-])")
 _ALNUM, _DIGITS = re.compile(r"[^\W_]+"), re.compile(r"\d+")
+_ASCII, _VOWEL = re.compile(r"[^a-zäöüéèêàâáíóúîôû]+"), re.compile(r"[aeiouyäöüéèêàâáíóúîôû]")
 _BULLET = re.compile(r"\s*(?:[•◦▪·‣∙●○■□–—*+-]|\[[ xX]?\])\s+\S")
 _NUMBER = re.compile(r"\s*(?:\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.)]|\d+(?:\.\d+)+\.?|§\s*\d+)\s+\S")
 _LEADER = re.compile(r"(?:\.\s?){4,}\s*\S{1,8}\s*$|…{2,}\s*\S{1,8}\s*$")
@@ -76,6 +77,12 @@ def line_kind(line: str) -> str:
     if (common >= 1 and common >= 0.12 * len(words) and like >= 0.55 * solid) or (ended and like >= 0.7 * solid and len(words) >= 3 and not _LEADER.search(s)):
         if not (bullet and common <= 1 and not ended):
             return "prose"
+    if len(words) >= 8 and common < 0.06 * len(words) and not ended and len(set(words)) <= len(words) / 2:
+        return "junk"  # the same few words again and again
+    if common < 0.06 * len(words) and not ended and len(words) >= 4:
+        letters = _ASCII.sub("", s.lower())
+        if len(letters) >= 24 and len(_VOWEL.findall(letters)) < 0.29 * len(letters) and not any(map(str.isdigit, s)):
+            return "junk"  # letters that don't make words
     if _LEADER.search(s) or (_INDEX.search(s) and like >= 0.3 * solid):
         return "list"
     if _PDF.search(s) and like < 0.75 * solid:
@@ -86,7 +93,7 @@ def line_kind(line: str) -> str:
         return ("list" if ":" in s else "phrase") if not common else "prose"
     if like < 0.5 * solid:
         return "junk" if solid > 12 else ""
-    return "prose"
+    return "prose" if common else "phrase"
 
 
 def _clean(s: str) -> bool:
@@ -104,12 +111,12 @@ def _measure(text: str) -> list:
     lines = text.split("\n")
     solid = [x for x in lines if x.strip()]
     size = dict.fromkeys(("list", "table", "junk", "prose", ""), 0)
-    ended, fenced, phrases, flowing = 0, False, 0, False
+    ended, fenced, phrases, flowing = 0, False, 0, 0
     for x in [*lines, ""]:
         t = x.strip()
         if not t:  # the end of a paragraph settles whether its phrases are wrapped prose
-            size["prose" if flowing else "list"] += phrases
-            phrases, flowing = 0, False
+            size["prose" if flowing > 0.3 * phrases else "list"] += phrases
+            phrases, flowing = 0, 0
             continue
         ended += bool(_END.search(t))
         if _FENCE.match(x):
@@ -119,7 +126,7 @@ def _measure(text: str) -> list:
         if kind == "phrase":
             phrases += len(t)
         else:
-            flowing |= kind == "prose"
+            flowing += len(t) if kind == "prose" else 0
             size[kind] += len(t)
     total = sum(size.values()) - size[""] or 1
     words = text.split()

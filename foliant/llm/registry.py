@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import leaks, near_dups, neighbours, packing, quality, split
+from foliant.llm import leaks, near_dups, neighbours, packing, quality, reading, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": near_dups.p1_found,
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_windows": packing.p6_windows,
     "p7_found": leaks.p7_found,
     "p7_report": leaks.p7_report,
+    "p8_found": reading.p8_found,
+    "p8_levels": reading.p8_levels,
 }
 SQL: dict[str, str] = {}
 
