@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import leaks, near_dups, neighbours, packing, quality, reading, split
+from foliant.llm import leaks, near_dups, neighbours, packing, quality, reading, scans, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": near_dups.p1_found,
@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_neighbours": neighbours.p3_neighbours,
     "p4_found": split.p4_found,
     "p4_pieces": split.p4_pieces,
+    "p5_found": scans.p5_found,
+    "p5_paragraphs": scans.p5_paragraphs,
     "p6_found": packing.p6_found,
     "p6_windows": packing.p6_windows,
     "p7_found": leaks.p7_found,
