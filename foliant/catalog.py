@@ -1,15 +1,460 @@
-"""All queries over the reference's operators, and their SQL."""
+"""All queries over the reference's operators, and their SQL.
+
+Each entry applies one operator to its whole tables; the SQL states the same result for another engine.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.common import read_table
+from foliant.functions import text as tx
+from foliant.functions.vectors import offline_embedding
+from foliant.operators import chunker, concepts, graph, quality, search, store
+from foliant.plans import tables as t
+from foliant.plans.tables import sql
+from foliant.streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+DOCUMENT, KEYWORD, PHRASE, TAG = "customer_methods_b1000027", "Inventory", "inventory count audit report", "inventory"
+DIM = 384
+PROBE = [((i * 37) % 101 - 50) / 50.0 for i in range(DIM)]  # a fixed query vector
+
+
+def query(name: str, views: str = "", body: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if body is not None:
+            SQL[name] = sql(views, body)
+        return f
+
+    return put
+
+
+# --- scans, filters, point look-ups -------------------------------------------------------------------------------
+
+
+@query("list_documents", "", f"SELECT doc_id, document_id, title FROM documents WHERE list_contains(coalesce(from_json(CASE WHEN json_valid(tags) THEN tags END, '[\"VARCHAR\"]'), []), '{TAG}')")
+def list_documents(s, d):
+    return search.with_all_tags(t.documents(s, d), [TAG]).select("doc_id", "document_id", "title")
+
+
+@query("documents_by_title", "", "SELECT doc_id, title, created_at FROM documents ORDER BY title NULLS FIRST, doc_id")
+def documents_by_title(s, d):
+    return read_table(s, d, "documents").select("doc_id", "title", "created_at").orderBy(F.asc_nulls_first("title"), "doc_id")
+
+
+@query("document_chunks", "cur meta des", f"SELECT chunk_id, level, sequence_position, token_count FROM des WHERE document_id = '{DOCUMENT}' AND level = 2")
+def document_chunks(s, d):
+    return t.described(s, d).where(search.chunk_filter(doc_id=DOCUMENT, level=2)).select("chunk_id", "level", "sequence_position", "token_count")
+
+
+@query("chunk_filters", "cur meta des", "SELECT chunk_id, document_id FROM des WHERE level = 2 AND semantic_type = 'definition' AND coalesce(has_table, false) = false")
+def chunk_filters(s, d):
+    return t.described(s, d).where(search.chunk_filter(level=2, semantic_type="definition", has_table=False)).select("chunk_id", "document_id")
+
+
+@query("chunks_by_topic", "cur meta des", "SELECT chunk_id FROM des WHERE len(list_filter(topic_tags, lambda x: lower(x) = 'inventory')) > 0")
+def chunks_by_topic(s, d):
+    return t.described(s, d).where(F.exists("topic_tags", lambda x: F.lower(x) == TAG)).select("chunk_id")
+
+
+@query("keyword_search", "cur", f"SELECT chunk_id, level FROM cur WHERE contains(lower(content), lower('{KEYWORD}'))")
+def keyword_search(s, d):
+    return search.search_keyword(t.chunks(s, d), KEYWORD).select("chunk_id", "level")
+
+
+@query("keyword_search_cased", "cur", "SELECT chunk_id, level FROM cur WHERE contains(content, 'Stores')")
+def keyword_search_cased(s, d):
+    return search.search_keyword(t.chunks(s, d), "Stores", True).select("chunk_id", "level")
+
+
+@query("embedding_dimensions", "vec", "SELECT len(embedding)::INT AS dim, count(*) AS n FROM vec GROUP BY 1")
+def embedding_dimensions(s, d):
+    return t.vectors(s, d).groupBy(F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim")).agg(F.count("*").alias("n"))
+
+
+# --- scalars -------------------------------------------------------------------------------------------------------
+
+
+@query("token_estimates", "", "SELECT doc_id, (CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END)::INT AS tokens, len(regexp_extract_all(coalesce(text, ''), '\\S+'))::INT AS words FROM documents")
+def token_estimates(s, d):
+    return read_table(s, d, "documents").select("doc_id", tx.estimate_tokens("text").alias("tokens"), tx.word_count("text").cast("int").alias("words"))
+
+
+def _rx(patterns: list[str], flags: str) -> str:
+    f = flags.replace("d", "")
+    return " OR ".join(f"regexp_matches(c, '(?{f}){p.replace(chr(39), chr(39) * 2)}')" for p in patterns)
+
+
+_STEPS = " + ".join(f"regexp_matches(c, '(?im){p}')::INT" for p in tx.PROCEDURE)
+_TYPE = (
+    f"CASE WHEN {_rx(tx.THEOREM, 'im')} THEN 'theorem' WHEN {_rx(tx.DEFINITION, 'im')} THEN 'definition' WHEN {_rx(tx.COMMAND, 'm')} THEN 'cli_command' "
+    f"WHEN {_rx(tx.CODE, 'm')} THEN 'code_example' WHEN {_rx(tx.EXAMPLE, 'im')} THEN 'example' WHEN {_STEPS} >= 2 THEN 'procedure' ELSE 'narrative' END"
+)
+
+
+@query("semantic_types", "cur", f"SELECT chunk_id, {_TYPE} AS semantic_type FROM (SELECT chunk_id, coalesce(content, '') AS c FROM cur)")
+def semantic_types(s, d):
+    return t.chunks(s, d).select("chunk_id", tx.semantic_type("content").alias("semantic_type"))
+
+
+@query("content_flags", "cur", "SELECT chunk_id, " + ", ".join(f"regexp_matches(coalesce(content, ''), '{p}') AS {k}" for k, p in tx.FLAGS.items()) + " FROM cur")
+def content_flags(s, d):
+    return t.chunks(s, d).select("chunk_id", *[c.alias(k) for k, c in tx.content_flags("content").items()])
+
+
+@query("header_info", "cur", "SELECT chunk_id, trim(regexp_extract(l, '^(#{1,6})\\s+(.+)$', 2)) AS header_text, length(regexp_extract(l, '^(#{1,6})\\s+(.+)$', 1))::INT AS header_level FROM (SELECT chunk_id, split_part(content, chr(10), 1) AS l FROM cur) WHERE regexp_matches(l, '^(#{1,6})\\s+(.+)$')")
+def header_info(s, d):
+    h = tx.header_info("content")
+    return t.chunks(s, d).select("chunk_id", h["header_text"].alias("header_text"), h["header_level"].cast("int").alias("header_level")).where("header_level IS NOT NULL")
+
+
+@query("topic_tags")
+def topic_tags(s, d):
+    return t.chunks(s, d).select("chunk_id", tx.topic_tags("content").alias("tags"))
+
+
+@query("slugs", "", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '[^\\w\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '-') AS slug, coalesce(nullif(trim(regexp_replace(regexp_replace(title, '[^\\w\\-]', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'document') AS file_name FROM documents WHERE title IS NOT NULL")
+def slugs(s, d):
+    return read_table(s, d, "documents").where("title IS NOT NULL").select("doc_id", tx.slug("title").alias("slug"), tx.file_slug("title").alias("file_name"))
+
+
+@query("lead_summaries")
+def lead_summaries(s, d):
+    return read_table(s, d, "documents").select("doc_id", tx.lead("text", 3).alias("summary"))
+
+
+@query("offline_embeddings")
+def offline_embeddings(s, d):
+    v = offline_embedding(F.col("text"), 16)
+    return read_table(s, d, "documents").select("doc_id", v.alias("embedding"))
+
+
+# --- quality -------------------------------------------------------------------------------------------------------
+
+_M = (
+    "SELECT *, words::DOUBLE / pages AS words_per_page, words::DOUBLE / lines AS words_per_line FROM (SELECT doc_id, len(regexp_extract_all(c, '\\S+'))::INT AS words, len(string_split(c, chr(10)))::INT AS lines, "
+    "greatest(1, len(regexp_extract_all(c, '\\S+')) // 300)::INT AS pages, len(regexp_extract_all(c, '(?m)^#{1,6}\\s+.+$'))::INT AS headings, length(c) AS chars, length(regexp_replace(c, '[\\p{L}\\p{M}\\p{N}\\p{Pc}\\p{Z}\\s]', '', 'g')) AS special, "
+    "len(list_filter(string_split(c, chr(10)), lambda x: trim(x, ' \t\r') = ''))::INT AS blank FROM (SELECT doc_id, coalesce(text, '') AS c FROM documents))"
+)
+
+
+@query("quality_metrics", "", f"SELECT doc_id, words AS word_count, lines AS line_count, pages AS estimated_pages, headings AS heading_count, CASE WHEN chars = 0 THEN 0.0 ELSE special::DOUBLE / chars END AS special_char_ratio, blank::DOUBLE / lines AS empty_line_ratio, words_per_page, words_per_line FROM ({_M})")
+def quality_metrics(s, d):
+    m = quality.metrics("text")
+    keep = ("word_count", "line_count", "estimated_pages", "heading_count", "special_char_ratio", "empty_line_ratio", "words_per_page", "words_per_line")
+    return read_table(s, d, "documents").select("doc_id", *[m[k].alias(k) for k in keep])
+
+
+@query("quality_reports")
+def quality_reports(s, d):
+    return quality.reports(read_table(s, d, "documents").select("doc_id", "text")).select("doc_id", "score", "status", F.transform("issues", lambda i: F.concat_ws(":", i["code"], i["severity"])).alias("issues"))
+
+
+@query(
+    "stored_report_scores", "",
+    "SELECT document_id, checked_at, (100 - (CASE WHEN words_per_page < 50 THEN 30 WHEN words_per_page < 100 THEN 15 ELSE 0 END) - (CASE WHEN special_char_ratio > 0.2 THEN 25 WHEN special_char_ratio > 0.1 THEN 12 ELSE 0 END) "
+    "- (CASE WHEN empty_line_ratio > 0.7 THEN 10 WHEN empty_line_ratio > 0.55 THEN 5 ELSE 0 END) - (CASE WHEN words_per_line > 500 THEN 30 WHEN words_per_line > 200 THEN 15 ELSE 0 END) "
+    "- (CASE WHEN word_count >= 5000 AND heading_count <= 0 THEN 20 WHEN word_count >= 5000 AND heading_count < 1 THEN 10 ELSE 0 END) - (CASE WHEN broken_table_count >= 3 THEN 15 WHEN broken_table_count >= 1 THEN 7 ELSE 0 END) "
+    "- (CASE WHEN ocr_confidence_avg < 0.6 THEN 20 WHEN ocr_confidence_avg < 0.8 THEN 10 ELSE 0 END))::INT AS score FROM quality_metrics",
+)
+def stored_report_scores(s, d):
+    return read_table(s, d, "quality_metrics").select("document_id", "checked_at", quality.score().cast("int").alias("score"))
+
+
+@query("quality_status_counts", "", "SELECT status, count(*) AS n FROM (SELECT * FROM quality_metrics QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY checked_at DESC) = 1) GROUP BY 1")
+def quality_status_counts(s, d):
+    q = read_table(s, d, "quality_metrics").groupBy("document_id").agg(F.max_by("status", "checked_at").alias("status"))
+    return q.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("content_stats", "", "SELECT section_no, doc_id, length(c)::INT AS characters, len(regexp_extract_all(c, '\\S+'))::INT AS words, len(string_split(c, chr(10)))::INT AS lines, len(regexp_extract_all(c, '(?m)^#{1,6}\\s'))::INT AS headings, ((length(c) - length(replace(c, '|---', ''))) // 4)::INT AS tables, (((length(c) - length(replace(c, '```', ''))) // 3) // 2)::INT AS code_blocks FROM (SELECT doc_id, section_no, coalesce(content, '') AS c FROM sections QUALIFY row_number() OVER (PARTITION BY doc_id, section_no ORDER BY parsed_at DESC) = 1)")
+def content_stats(s, d):
+    cs = quality.content_stats("content")
+    cur = t.latest(read_table(s, d, "sections"), ["doc_id", "section_no"], "parsed_at")
+    return cur.select("section_no", "doc_id", *[cs[k].alias(k) for k in ("characters", "words", "lines", "headings", "tables", "code_blocks")])
+
+
+@query("chunk_quality", "cur meta des", "SELECT document_id, count(*) AS chunk_count, count(*) FILTER (w = 0) AS empty_chunks, count(*) FILTER (w > 0 AND w < 10) AS small_chunks, avg(w) AS avg_chunk_words FROM (SELECT document_id, len(regexp_extract_all(coalesce(content, ''), '\\S+')) AS w FROM des) GROUP BY 1")
+def chunk_quality(s, d):
+    return quality.chunk_quality(t.described(s, d)).select("document_id", "chunk_count", "empty_chunks", "small_chunks", "avg_chunk_words")
+
+
+# --- generators ----------------------------------------------------------------------------------------------------
+
+
+@query("markdown_chunks")
+def markdown_chunks(s, d):
+    return chunker.document_chunks(read_table(s, d, "documents")).select("document_id", "chunk_id", "level", "token_count", "parent_id", "prev_id", "next_id", "section_path", "sequence_position")
+
+
+@query("markdown_sections", "", "SELECT document_id, count(*) AS headings FROM (SELECT document_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_full_match(line, '(#{1,6})\\s+(.+)') GROUP BY 1")
+def markdown_sections(s, d):
+    return chunker.document_sections(read_table(s, d, "documents")).where("section_no > 0").groupBy("document_id").agg(F.count("*").alias("headings"))
+
+
+@query("special_blocks")
+def special_blocks(s, d):
+    return chunker.document_blocks(read_table(s, d, "documents")).select("document_id", "block_no", "block_type", "start_line", "end_line")
+
+
+@query("image_links", "cur", "SELECT chunk_id, unnest(regexp_extract_all(content, '!\\[.*?\\]\\((.+?)\\)', 1)) AS image FROM cur")
+def image_links(s, d):
+    return t.chunks(s, d).select("chunk_id", F.explode(F.regexp_extract_all("content", F.lit(r"!\[.*?\]\((.+?)\)"), 1)).alias("image"))
+
+
+@query("section_of_line", "", "WITH s AS (SELECT * FROM sections QUALIFY row_number() OVER (PARTITION BY doc_id, section_no ORDER BY parsed_at DESC) = 1), l AS (SELECT DISTINCT doc_id, start_line + 1 AS line_no FROM s) SELECT l.doc_id, l.line_no, arg_max(s.section_no, {'a': s.level, 'b': s.start_line, 'c': s.section_no}) AS section_no FROM l JOIN s ON l.doc_id = s.doc_id AND l.line_no BETWEEN s.start_line AND s.end_line GROUP BY 1, 2")
+def section_of_line(s, d):
+    cur = t.latest(read_table(s, d, "sections"), ["doc_id", "section_no"], "parsed_at")
+    return graph.section_of_line(cur, cur.select("doc_id", (F.col("start_line") + 1).alias("line_no")).distinct())
+
+
+# --- joins and sequences -------------------------------------------------------------------------------------------
+
+
+@query("chunk_parents", "cur", "SELECT c.chunk_id, c.parent_id FROM cur c JOIN cur p ON c.parent_id = p.chunk_id")
+def chunk_parents(s, d):
+    return graph.parents(t.chunks(s, d))
+
+
+@query("chunk_children", "cur", "SELECT x.parent_id, x.chunk_id, x.position FROM (SELECT chunk_id AS parent_id, unnest(child_ids) AS chunk_id, (generate_subscripts(child_ids, 1) - 1)::INT AS position FROM cur) x JOIN cur c ON x.chunk_id = c.chunk_id")
+def chunk_children(s, d):
+    return graph.children(t.chunks(s, d))
+
+
+@query("chunk_siblings", "cur", "SELECT a.chunk_id, b.chunk_id AS sibling_id FROM cur a JOIN cur b ON a.parent_id = b.parent_id AND a.chunk_id <> b.chunk_id JOIN (SELECT parent_id FROM cur WHERE level = 2 GROUP BY 1 HAVING count(*) <= 5) f ON f.parent_id = a.parent_id")
+def chunk_siblings(s, d):
+    c = t.chunks(s, d)
+    small = c.where("level = 2").groupBy("parent_id").agg(F.count("*").alias("n")).where("n <= 5").select("parent_id")
+    return graph.siblings(c, c.where("parent_id IS NOT NULL").join(small, "parent_id", "left_semi").select("chunk_id"))
+
+
+@query("context_windows", "cur meta des", f"SELECT chunk_id, 0 AS off, chunk_id AS neighbour_id FROM des WHERE document_id = '{DOCUMENT}' UNION ALL SELECT d.chunk_id, -1, p.chunk_id FROM des d JOIN cur p ON d.prev_id = p.chunk_id WHERE d.document_id = '{DOCUMENT}' UNION ALL SELECT d.chunk_id, 1, n.chunk_id FROM des d JOIN cur n ON d.next_id = n.chunk_id WHERE d.document_id = '{DOCUMENT}'")
+def context_windows(s, d):
+    ids = t.metadata(s, d).where(F.col("document_id") == DOCUMENT).select("chunk_id")
+    return graph.context_window(t.chunks(s, d), ids, 1).withColumnRenamed("offset", "off")
+
+
+@query("chunk_links", "cur meta des", "SELECT chunk_id, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id FROM des WINDOW w AS (PARTITION BY document_id, level ORDER BY sequence_position, chunk_id)")
+def chunk_links(s, d):
+    return graph.links(t.described(s, d).drop("prev_id", "next_id")).select("chunk_id", "prev_id", "next_id")
+
+
+@query("related_concepts", "edg", "SELECT DISTINCT src AS concept_id, dst AS related_id, type FROM edg WHERE type IN ('relates_to', 'component_of')")
+def related_concepts(s, d):
+    return graph.related(t.edges(s, d), ("relates_to", "component_of"))
+
+
+@query("concept_dependents", "edg", "SELECT DISTINCT dst AS concept_id, src AS related_id, type FROM edg WHERE type = 'relates_to'")
+def concept_dependents(s, d):
+    return graph.related(t.edges(s, d), reverse=True)
+
+
+@query("related_both_ways", "edg", "SELECT concept_id, related_id, min(way)::INT AS way FROM (SELECT src AS concept_id, dst AS related_id, 0 AS way FROM edg WHERE type = 'relates_to' UNION ALL SELECT dst, src, 1 FROM edg WHERE type = 'relates_to') GROUP BY 1, 2")
+def related_both_ways(s, d):
+    return graph.related_both(t.edges(s, d))
+
+
+@query("chunks_without_vectors", "cur vec", "SELECT chunk_id FROM cur WHERE level = 2 AND chunk_id NOT IN (SELECT chunk_id FROM vec)")
+def chunks_without_vectors(s, d):
+    return t.chunks(s, d).where("level = 2").join(t.vectors(s, d).select("chunk_id"), "chunk_id", "left_anti").select("chunk_id")
+
+
+@query("vector_chunks", "cur meta des vec", "SELECT v.chunk_id, d.document_id, d.level FROM vec v JOIN des d ON v.chunk_id = d.chunk_id")
+def vector_chunks(s, d):
+    return t.vectors(s, d).select("chunk_id").join(t.described(s, d).select("chunk_id", "document_id", "level"), "chunk_id")
+
+
+# --- aggregates ----------------------------------------------------------------------------------------------------
+
+
+@query("document_stats", "cur meta des", "SELECT document_id, count(*) AS total_chunks, count(*) FILTER (level = 0) AS level_0, count(*) FILTER (level = 1) AS level_1, count(*) FILTER (level = 2) AS level_2, coalesce(sum(token_count), 0)::BIGINT AS total_tokens FROM des WHERE document_id IS NOT NULL GROUP BY 1")
+def document_stats(s, d):
+    return store.document_stats(t.described(s, d)).drop("by_type")
+
+
+@query("semantic_type_counts", "cur meta des", "SELECT document_id, coalesce(semantic_type, 'unknown') AS type, count(*) AS n FROM des WHERE document_id IS NOT NULL GROUP BY 1, 2")
+def semantic_type_counts(s, d):
+    return store.document_stats(t.described(s, d)).select("document_id", F.explode("by_type").alias("x")).select("document_id", "x.type", "x.n")
+
+
+@query("edge_duplicates", "", "SELECT sum(n)::BIGINT AS total, count(*) AS unique_edges, (sum(n) - count(*))::BIGINT AS duplicates FROM (SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2)")
+def edge_duplicates(s, d):
+    return store.edge_duplicates(read_table(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
+@query("dedup_edges", "", "SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem")
+def dedup_edges(s, d):
+    return store.dedup_edges(read_table(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
+@query("keep_newest", "", "SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def keep_newest(s, d):
+    o = read_table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return store.keep_newest(o, "o_custkey", "o_orderdate", [F.col("o_orderkey")])
+
+
+@query("aggregated_concepts", "", "SELECT 'c' || l_partkey AS concept_id, count(*) AS occurrence_count, max(length(p_name || ' ' || l_shipmode_))::INT AS longest FROM (SELECT l_partkey, l_returnflag || l_linestatus AS l_shipmode_ FROM lineitem) JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def aggregated_concepts(s, d):
+    li, p = read_table(s, d, "lineitem"), read_table(s, d, "part")
+    m = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("concept_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("concept_type"),
+        F.concat_ws(" ", "p_name", F.concat("l_returnflag", "l_linestatus")).alias("definition"), F.array("p_brand").alias("aliases"), F.col("l_orderkey").cast("string").alias("occurrence"),
+    )
+    return concepts.aggregate(m).select("concept_id", "occurrence_count", F.length("definition").alias("longest"))
+
+
+@query("document_cooccurrence", "", "WITH m AS (SELECT DISTINCT l_suppkey AS item, l_orderkey AS grp FROM lineitem) SELECT a.item AS item_1, b.item AS item_2, count(*) AS n FROM m a JOIN m b ON a.grp = b.grp AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 3")
+def document_cooccurrence(s, d):
+    return graph.cooccurrence(read_table(s, d, "lineitem").select("l_suppkey", "l_orderkey"), "l_suppkey", "l_orderkey", 3)
+
+
+@query("inbox_status", "", "SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'absent') AS absent FROM events")
+def inbox_status(s, d):
+    return store.status_counts(read_table(s, d, "events"), "event_type", ("click", "view", "absent"))
+
+
+@query("summarized_documents", "", "SELECT document_id, count(*) AS reports, coalesce(any_value(title), document_id) AS title FROM (SELECT q.document_id, d.title FROM quality_metrics q LEFT JOIN documents d ON q.document_id = d.document_id) GROUP BY 1")
+def summarized_documents(s, d):
+    q = read_table(s, d, "quality_metrics").groupBy("document_id").agg(F.count("*").alias("reports"))
+    return q.join(read_table(s, d, "documents").select("document_id", "title"), "document_id", "left").select("document_id", "reports", F.coalesce("title", "document_id").alias("title"))
+
+
+@query("unreported_documents", "", "SELECT document_id FROM documents WHERE document_id NOT IN (SELECT document_id FROM quality_metrics WHERE document_id IS NOT NULL)")
+def unreported_documents(s, d):
+    return read_table(s, d, "documents").select("document_id").join(read_table(s, d, "quality_metrics").select("document_id"), "document_id", "left_anti")
+
+
+# --- top-k and ranking ---------------------------------------------------------------------------------------------
+
+_P = "[" + ", ".join(map(str, PROBE)) + "]::DOUBLE[]"
+_USABLE = "embedding IS NOT NULL AND len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0"
+
+
+@query("semantic_top_k", "vec", f"SELECT chunk_id, CASE WHEN list_dot_product(embedding, embedding) = 0 THEN 0.0 ELSE list_cosine_similarity(embedding, {_P}) END AS score FROM vec WHERE {_USABLE} ORDER BY score DESC, chunk_id LIMIT 10")
+def semantic_top_k(s, d):
+    good = (F.size("embedding") == DIM) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    return search.search_similar(t.vectors(s, d), PROBE, 10, None, good).select("chunk_id", "score")
+
+
+@query("semantic_top_k_many")
+def semantic_top_k_many(s, d):
+    rng = np.random.default_rng(11)
+    return search.search_many(t.vectors(s, d), rng.standard_normal((16, DIM)), list(range(16)), 5)
+
+
+@query("diverse_results")
+def diverse_results(s, d):
+    rng = np.random.default_rng(11)
+    v = t.vectors(s, d)
+    top = search.search_many(v, rng.standard_normal((4, DIM)), list(range(4)), 50)
+    return search.diversify(top.join(v.select("chunk_id", "embedding"), "chunk_id"), 5)
+
+
+@query("bm25", "cur", "SELECT * FROM (SELECT chunk_id, sum(ln(1 + (dn - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / av))) AS score FROM (SELECT w.chunk_id, w.n, q.term, len(list_filter(w.t, lambda x: x = q.term)) AS f, count(*) FILTER (list_contains(w.t, q.term)) OVER (PARTITION BY q.term) AS df, count(*) OVER (PARTITION BY q.term) AS dn, avg(w.n) OVER (PARTITION BY q.term) AS av FROM (SELECT chunk_id, t, len(t) AS n FROM (SELECT chunk_id, list_filter(regexp_split_to_array(lower(coalesce(content, '')), '\\W+'), lambda x: x <> '') AS t FROM cur)) w, (SELECT unnest(['audit', 'count', 'inventory', 'report']) AS term) q) WHERE f > 0 GROUP BY 1) ORDER BY score DESC, chunk_id LIMIT 100")
+def bm25(s, d):
+    return search.search_bm25(t.chunks(s, d), PHRASE, 100)
+
+
+@query("concept_search", "con", "SELECT concept_id, score::INT AS score FROM (SELECT concept_id, (CASE WHEN lower(name) = 'brand#12' THEN 100 WHEN contains(lower(name), 'brand#12') THEN 50 ELSE 0 END) + (CASE WHEN lower(aliases[1]) = 'brand#12' THEN 80 WHEN contains(lower(aliases[1]), 'brand#12') THEN 40 ELSE 0 END) + (CASE WHEN contains(lower(definition), 'brand#12') THEN 20 ELSE 0 END) AS score FROM con) WHERE score > 0 ORDER BY score DESC, concept_id LIMIT 10")
+def concept_search(s, d):
+    return search.search_concepts(t.concepts(s, d), "Brand#12").select("concept_id", "score")
+
+
+@query("ranked_concepts", "con edg", "SELECT concept_id, coalesce(n, 0) AS connections FROM con LEFT JOIN (SELECT src, count(*) AS n FROM edg GROUP BY 1) ON src = concept_id ORDER BY connections DESC, concept_id LIMIT 20")
+def ranked_concepts(s, d):
+    return graph.rank_concepts(t.concepts(s, d), t.edges(s, d), 20).select("concept_id", "connections")
+
+
+@query("prerequisites", "edg", "SELECT src AS concept_id, array_to_string(list_sort(list_distinct(list(dst))), ',') AS requires FROM edg WHERE type IN ('requires', 'calculated_from') GROUP BY 1")
+def prerequisites(s, d):
+    return graph.prerequisites(t.edges(s, d)).select("concept_id", F.array_join("requires", ",").alias("requires"))
+
+
+# --- concepts, graph and changes -----------------------------------------------------------------------------------
+
+
+@query("resolved_names", "con", "SELECT wanted, min({'w': way, 'c': concept_id}).c AS concept_id FROM (SELECT name AS wanted, 1 AS way, concept_id FROM con UNION ALL SELECT a, 3, concept_id FROM (SELECT concept_id, aliases[1] AS a FROM con) WHERE a IS NOT NULL) GROUP BY 1")
+def resolved_names(s, d):
+    c = t.concepts(s, d)
+    names = c.select(F.col("name").alias("wanted")).union(c.select(F.explode("aliases"))).distinct()
+    return concepts.resolve(c, names)
+
+
+@query("merged_concepts", "con", "SELECT name, min(concept_id) AS concept_id FROM con GROUP BY 1")
+def merged_concepts(s, d):
+    c = t.concepts(s, d).withColumn("source_documents", F.array(F.lit("a")))
+    return concepts.merge_by_name(c, c.withColumn("source_documents", F.array(F.lit("b")))).select("name", "concept_id")
+
+
+@query("garbage_concepts", "con", "SELECT concept_id FROM con WHERE trim(definition) = '' OR len(regexp_extract_all(trim(definition), '\\S+')) < 4")
+def garbage_concepts(s, d):
+    return t.concepts(s, d).where(concepts.is_garbage(4)).select("concept_id")
+
+
+@query("exported_concepts", "con", "SELECT concept_id, name, concept_type AS type, definition, array_to_string(aliases, '; ') AS aliases FROM con")
+def exported_concepts(s, d):
+    return concepts.export_rows(t.concepts(s, d))
+
+
+@query("header_relations", "cur meta des", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY regexp_extract(chunk_id, '(\\d+)$', 1)::BIGINT, chunk_id) AS o FROM meta WHERE hierarchy_level IS NOT NULL) SELECT arg_max(p.chunk_id, p.o) AS src, c.chunk_id AS dst FROM r c JOIN r p ON c.document_id = p.document_id AND p.o < c.o AND p.hierarchy_level < c.hierarchy_level GROUP BY 2")
+def header_relations(s, d):
+    return concepts.header_relations(t.metadata(s, d).select("document_id", "chunk_id", F.col("chunk_id").alias("concept_id"), F.col("hierarchy_level").alias("header_level")).where("document_id IS NOT NULL"))
+
+
+SQL["header_relations"] = SQL["header_relations"].replace(" WITH r AS", ", r AS").replace("WHERE hierarchy_level IS NOT NULL)", "WHERE hierarchy_level IS NOT NULL AND document_id IS NOT NULL)")
+
+
+@query("summary_hierarchy", "summ", "SELECT summary_id, (CASE level WHEN 'document' THEN 0 WHEN 'chapter' THEN 1 ELSE 2 END)::INT AS depth, coalesce((SELECT p.parent_summary_id FROM summ p WHERE p.summary_id = s.parent_summary_id), s.parent_summary_id, s.summary_id) AS root_id FROM summ s")
+def summary_hierarchy(s, d):
+    return graph.hierarchy(t.summaries(s, d))
+
+
+@query("graph_edges_dot", "edg", "SELECT DISTINCT '  \"' || lower(src) || '\" -> \"' || lower(dst) || '\" [label=\"' || type || '\"];' AS line FROM edg WHERE type <> 'requires'")
+def graph_edges_dot(s, d):
+    return graph.dot_rows(t.edges(s, d).where("type <> 'requires'"))
+
+
+@query("deleted_document", "cur meta des", f"SELECT chunk_id, document_id FROM des WHERE coalesce(document_id <> '{DOCUMENT}', true)")
+def deleted_document(s, d):
+    return store.delete_document(t.documents(s, d), t.described(s, d), t.vectors(s, d), DOCUMENT)[1].select("chunk_id", "document_id")
+
+
+@query("deleted_chunks", "cur meta des", "SELECT chunk_id, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id FROM des WHERE coalesce(token_count, 0) >= 50 WINDOW w AS (PARTITION BY document_id, level ORDER BY sequence_position, chunk_id)")
+def deleted_chunks(s, d):
+    c = t.described(s, d)
+    return store.delete_chunks(c, c.where(F.coalesce("token_count", F.lit(0)) < 50)).select("chunk_id", "prev_id", "next_id")
+
+
+@query("upserted_nations", "", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'NEW ' || n_name ELSE n_name END AS n_name FROM nation")
+def upserted_nations(s, d):
+    n = read_table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    new = n.where("n_regionkey = 1").withColumn("n_name", F.concat(F.lit("NEW "), "n_name"))
+    return store.upsert(n, new, ["n_nationkey"]).select("n_nationkey", "n_name")
+
+
+@query("event_windows", "", "SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(s, d):
+    """The streaming aggregate, run over the stored rows."""
+    return ingest.windowed(read_table(s, d, "events")).select("window_start", "event_type", "n")
+
+
+@query("event_sessions", "", "SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, k")
+def event_sessions(s, d):
+    return ingest.sessions(read_table(s, d, "events"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
