@@ -10,8 +10,8 @@ from foliant.functions.text import file_stem, title_of
 
 def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md", recursive: bool = False, skip: DataFrame | None = None) -> DataFrame:
     """(document_id, title, path, text) of text files; documents in ``skip`` (document_id) are left out."""
-    r = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    df = r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    r = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+    df = r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     df = df.select(file_stem("path").alias("document_id"), title_of("path", "text").alias("title"), "path", "text")
     return df if skip is None else df.join(skip.select("document_id").distinct(), "document_id", "left_anti")
 
