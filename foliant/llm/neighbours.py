@@ -79,16 +79,16 @@ def _unary(orders: np.ndarray, k: int) -> np.ndarray:
 def pack6(x: np.ndarray) -> np.ndarray:
     """Vectors as 6 bits a coordinate, up to a factor; their dimension must be a multiple of 4."""
     scale = np.abs(x).max(axis=1, keepdims=True, initial=1e-30)
-    q = (np.rint(x / scale * 31) + 32).astype(np.uint32).reshape(len(x), -1, 4)
+    q = (np.rint(x / scale * 31) + 32).astype(np.uint32).reshape(len(x), x.shape[1] // 4, 4)
     word = q[..., 0] | (q[..., 1] << 6) | (q[..., 2] << 12) | (q[..., 3] << 18)
-    return np.ascontiguousarray(word).view(np.uint8).reshape(len(x), -1, 4)[..., :3].reshape(len(x), -1)
+    return np.ascontiguousarray(word).view(np.uint8).reshape(len(x), x.shape[1] // 4, 4)[..., :3].reshape(len(x), x.shape[1] * 3 // 4)
 
 
 def unpack6(raw: np.ndarray) -> np.ndarray:
     """Unit vectors of pack6's rows."""
-    b = raw.reshape(len(raw), -1, 3).astype(np.uint32)
+    b = raw.reshape(len(raw), raw.shape[1] // 3, 3).astype(np.uint32)
     word = b[..., 0] | (b[..., 1] << 8) | (b[..., 2] << 16)
-    x = np.stack([(word >> s) & 63 for s in (0, 6, 12, 18)], axis=-1).reshape(len(raw), -1).astype(np.float32) - 32
+    x = np.stack([(word >> s) & 63 for s in (0, 6, 12, 18)], axis=-1).reshape(len(raw), raw.shape[1] * 4 // 3).astype(np.float32) - 32
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
