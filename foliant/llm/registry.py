@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import leaks, near_dups, neighbours, packing, quality, reading, scans, split
+from foliant.llm import leaks, near_dups, neighbours, oracle, packing, quality, reading, scans, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": near_dups.p1_found,
@@ -26,7 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": reading.p8_found,
     "p8_levels": reading.p8_levels,
 }
-SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(oracle.SQL)
