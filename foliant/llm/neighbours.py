@@ -2,7 +2,7 @@
 
 Method: a permutation index. A bounded sample of the vectors are pivots; each vector is represented by its nearest
 pivots in order and posted in the inverted files of the first few. Within a file, vectors are ranked by the footrule
-distance of their pivot orders, those near enough are compared by their cosine over 6-bit coordinates, and the
+distance of their pivot orders, those near enough are compared by their cosine over 5-bit coordinates, and the
 neighbours left are reranked by the cosine over 16-bit ones, which is within 1e-5 of the exact one.
 
 Pivots are drawn from the data, so dense regions get more of them and files stay about as long as one another; a file
@@ -27,7 +27,7 @@ FILE = 512  # vectors to a pivot; the pivots are a sample of one in so many vect
 MOST_PIVOTS = 8192  # and at most so many (12 MB)
 FOOTRULE = 0.9  # share of the largest footrule distance up to which pairs are compared
 BLOCK = 6144  # members of a file in one block
-SLACK = 0.012  # what 6-bit coordinates may change of a cosine
+SLACK = 0.02  # what 5-bit coordinates may change of a cosine
 FILTER_BITS = 1 << 25
 _PRIME = np.random.Generator(np.random.PCG64(3)).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -76,19 +76,19 @@ def _unary(orders: np.ndarray, k: int) -> np.ndarray:
     return out.reshape(len(orders), -1)
 
 
-def pack6(x: np.ndarray) -> np.ndarray:
-    """Vectors as 6 bits a coordinate, up to a factor; their dimension must be a multiple of 4."""
+def pack5(x: np.ndarray) -> np.ndarray:
+    """Vectors as 5 bits a coordinate, up to a factor, three coordinates to 16 bits."""
     scale = np.abs(x).max(axis=1, keepdims=True, initial=1e-30)
-    q = (np.rint(x / scale * 31) + 32).astype(np.uint32).reshape(len(x), x.shape[1] // 4, 4)
-    word = q[..., 0] | (q[..., 1] << 6) | (q[..., 2] << 12) | (q[..., 3] << 18)
-    return np.ascontiguousarray(word).view(np.uint8).reshape(len(x), x.shape[1] // 4, 4)[..., :3].reshape(len(x), x.shape[1] * 3 // 4)
+    q = np.zeros((len(x), -(-x.shape[1] // 3) * 3), np.uint16) + 16
+    q[:, : x.shape[1]] = np.rint(x / scale * 15) + 16
+    q = q.reshape(len(x), q.shape[1] // 3, 3)
+    return np.ascontiguousarray(q[..., 0] | (q[..., 1] << 5) | (q[..., 2] << 10)).view(np.uint8)
 
 
-def unpack6(raw: np.ndarray) -> np.ndarray:
-    """Unit vectors of pack6's rows."""
-    b = raw.reshape(len(raw), raw.shape[1] // 3, 3).astype(np.uint32)
-    word = b[..., 0] | (b[..., 1] << 8) | (b[..., 2] << 16)
-    x = np.stack([(word >> s) & 63 for s in (0, 6, 12, 18)], axis=-1).reshape(len(raw), raw.shape[1] * 4 // 3).astype(np.float32) - 32
+def unpack5(raw: np.ndarray, dim: int) -> np.ndarray:
+    """Unit vectors of pack5's rows."""
+    word = np.ascontiguousarray(raw).view(np.uint16)
+    x = np.stack([(word >> s) & 31 for s in (0, 5, 10)], axis=-1).reshape(len(raw), word.shape[1] * 3)[:, :dim].astype(np.float32) - 16
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -179,7 +179,7 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
             new = np.array([i for i, c in enumerate(cls.tolist()) if known[i] and c not in seen and not seen.add(c)], np.int64)
             x, cls = x[new], cls[new]
             o = _pivot_orders(x, pivots, k_order)
-            both = np.concatenate([o.astype(np.uint16).view(np.uint8), pack6(x)], axis=1)
+            both = np.concatenate([o.astype(np.uint16).view(np.uint8), pack5(x)], axis=1)
             codes = pa.array([c.tobytes() for c in both], pa.binary())
             for j in range(m):
                 nb = blocks[o[:, j]]
@@ -197,8 +197,8 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
         _, one = np.unique(cls, return_index=True)  # the same class from several tasks
         one = one[np.argsort(second[one], kind="stable")] if split else one
         cls, cut = cls[one], int((~second[one]).sum()) if split else 0
-        code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(-1, 2 * k_order + dim * 3 // 4)[one]
-        perm, vec = np.ascontiguousarray(code[:, : 2 * k_order]).view(np.uint16), unpack6(code[:, 2 * k_order :])
+        code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(-1, 2 * k_order - (-dim // 3) * 2)[one]
+        perm, vec = np.ascontiguousarray(code[:, : 2 * k_order]).view(np.uint16), unpack5(code[:, 2 * k_order :], dim)
         if split and cut in (0, len(cls)):
             x = y = np.zeros(0, np.int64)
         else:
