@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.common import read_table
+from foliant.functions import extract
 from foliant.functions import text as tx
 from foliant.functions.vectors import offline_embedding
 from foliant.operators import chunker, concepts, graph, quality, search, store
+from foliant.plans import api, property_graph
 from foliant.plans import tables as t
 from foliant.plans.tables import sql
 from foliant.streaming import ingest
@@ -51,9 +53,9 @@ def documents_by_title(s, d):
     return read_table(s, d, "documents").select("doc_id", "title", "created_at").orderBy(F.asc_nulls_first("title"), "doc_id")
 
 
-@query("document_chunks", "cur meta des", f"SELECT chunk_id, level, sequence_position, token_count FROM des WHERE document_id = '{DOCUMENT}' AND level = 2")
+@query("document_chunks", "cur meta des", "SELECT document_id, chunk_id, sequence_position, token_count FROM des WHERE level = 2")
 def document_chunks(s, d):
-    return t.described(s, d).where(search.chunk_filter(doc_id=DOCUMENT, level=2)).select("chunk_id", "level", "sequence_position", "token_count")
+    return t.described(s, d).where(search.chunk_filter(level=2)).select("document_id", "chunk_id", "sequence_position", "token_count")
 
 
 @query("chunk_filters", "cur meta des", "SELECT chunk_id, document_id FROM des WHERE level = 2 AND semantic_type = 'definition' AND coalesce(has_table, false) = false")
@@ -217,6 +219,44 @@ def section_of_line(s, d):
     return graph.section_of_line(cur, cur.select("doc_id", (F.col("start_line") + 1).alias("line_no")).distinct())
 
 
+@query("central_summaries")
+def central_summaries(s, d):
+    return t.chunks(s, d).select("chunk_id", extract.summary_column("content", 3).alias("summary"))
+
+
+@query("chunk_keywords")
+def chunk_keywords(s, d):
+    return t.chunks(s, d).select("chunk_id", F.transform(extract.keyword_column("content", 5), lambda k: k["keyword"]).alias("keywords"))
+
+
+@query("extracted_concepts")
+def extracted_concepts(s, d):
+    m = extract.mentions(t.described(s, d).select("chunk_id", "sequence_position", "content"))
+    return m.groupBy("concept_id").agg(F.min_by("name", F.struct("ord", "name")).alias("name"), F.count("*").alias("mentions"))
+
+
+@query("rolled_up_summaries", "cur meta des", "SELECT level, count(*) AS n FROM (SELECT 'section' AS level FROM des WHERE level = 2 AND content IS NOT NULL UNION ALL SELECT 'chapter' FROM (SELECT DISTINCT parent_id, document_id FROM des WHERE level = 2 AND content IS NOT NULL AND parent_id IS NOT NULL) UNION ALL SELECT 'document' FROM (SELECT DISTINCT document_id FROM des WHERE level = 2 AND content IS NOT NULL)) GROUP BY 1")
+def rolled_up_summaries(s, d):
+    return api.summarize(t.described(s, d)).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query("repaired_chapters", "cur meta des", "WITH x AS (SELECT document_id, chunk_id, coalesce(word_count, 0) AS w, row_number() OVER (PARTITION BY document_id ORDER BY coalesce(word_count, 0), chunk_id) AS r, count(*) OVER (PARTITION BY document_id) AS n FROM des WHERE level = 1 AND document_id IS NOT NULL), m AS (SELECT document_id, w AS median FROM x WHERE r = n // 2 + 1) SELECT chunk_id AS source_id, 'truncated' AS reason FROM x JOIN m USING (document_id) WHERE w < least(median * 0.2, 20.0)")
+def repaired_chapters(s, d):
+    c = t.described(s, d).where("level = 1 AND document_id IS NOT NULL").select(F.col("chunk_id").alias("source_id"), "document_id", F.coalesce("word_count", F.lit(0)).alias("word_count"))
+    return store.repair_set(c, c)
+
+
+SQL["repaired_chapters"] = SQL["repaired_chapters"].replace(" WITH x AS", ", x AS")
+
+
+@query("graph_hops", "", "SELECT DISTINCT 'n' || n_nationkey AS origin, 'r' || n_regionkey AS summary_id FROM nation")
+def graph_hops(s, d):
+    sm = t.summaries(s, d)
+    e = sm.where("level = 'chapter'").select(F.col("parent_summary_id").alias("src"), F.col("summary_id").alias("dst"), F.lit("has_child").alias("type"))
+    g = property_graph.PropertyGraph({"summary": sm}, e)
+    return g.run("summary_parent", sm.select(F.col("summary_id").alias("id"))).select("origin", "summary_id")
+
+
 # --- joins and sequences -------------------------------------------------------------------------------------------
 
 
@@ -230,17 +270,15 @@ def chunk_children(s, d):
     return graph.children(t.chunks(s, d))
 
 
-@query("chunk_siblings", "cur", "SELECT a.chunk_id, b.chunk_id AS sibling_id FROM cur a JOIN cur b ON a.parent_id = b.parent_id AND a.chunk_id <> b.chunk_id JOIN (SELECT parent_id FROM cur WHERE level = 2 GROUP BY 1 HAVING count(*) <= 5) f ON f.parent_id = a.parent_id")
+@query("chunk_siblings", "cur", "SELECT chunk_id, (count(*) OVER (PARTITION BY parent_id) - 1)::BIGINT AS siblings FROM cur WHERE parent_id IS NOT NULL")
 def chunk_siblings(s, d):
-    c = t.chunks(s, d)
-    small = c.where("level = 2").groupBy("parent_id").agg(F.count("*").alias("n")).where("n <= 5").select("parent_id")
-    return graph.siblings(c, c.where("parent_id IS NOT NULL").join(small, "parent_id", "left_semi").select("chunk_id"))
+    return graph.sibling_counts(t.chunks(s, d))
 
 
-@query("context_windows", "cur meta des", f"SELECT chunk_id, 0 AS off, chunk_id AS neighbour_id FROM des WHERE document_id = '{DOCUMENT}' UNION ALL SELECT d.chunk_id, -1, p.chunk_id FROM des d JOIN cur p ON d.prev_id = p.chunk_id WHERE d.document_id = '{DOCUMENT}' UNION ALL SELECT d.chunk_id, 1, n.chunk_id FROM des d JOIN cur n ON d.next_id = n.chunk_id WHERE d.document_id = '{DOCUMENT}'")
+@query("context_windows", "cur", "SELECT chunk_id, 0 AS off, chunk_id AS neighbour_id FROM cur UNION ALL SELECT d.chunk_id, -1, p.chunk_id FROM cur d JOIN cur p ON d.prev_id = p.chunk_id UNION ALL SELECT d.chunk_id, 1, n.chunk_id FROM cur d JOIN cur n ON d.next_id = n.chunk_id")
 def context_windows(s, d):
-    ids = t.metadata(s, d).where(F.col("document_id") == DOCUMENT).select("chunk_id")
-    return graph.context_window(t.chunks(s, d), ids, 1).withColumnRenamed("offset", "off")
+    c = t.chunks(s, d)
+    return graph.context_window(c, c, 1).withColumnRenamed("offset", "off")
 
 
 @query("chunk_links", "cur meta des", "SELECT chunk_id, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id FROM des WINDOW w AS (PARTITION BY document_id, level ORDER BY sequence_position, chunk_id)")

@@ -183,12 +183,19 @@ _BLOCK = "document_id string, block_no int, block_type string, content string, s
 def _flat(documents: DataFrame, schema: str, rows, doc: str, text: str) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
+    def frame(got: list) -> pd.DataFrame:
+        return pd.DataFrame(got, columns=names).astype({c: "Int64" for c in names if c in ("parent_no",)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            held: list = []
             for d, t in pdf.itertuples(index=False):
-                got = rows(d, t if isinstance(t, str) else "")
-                if got:
-                    yield pd.DataFrame(got, columns=names).astype({c: "Int64" for c in names if c in ("parent_no",)})
+                held.extend(rows(d, t if isinstance(t, str) else ""))
+                if len(held) >= 5000:  # whole batches are cheap to hand over, single documents aren't
+                    yield frame(held)
+                    held = []
+            if held:
+                yield frame(held)
 
     return documents.selectExpr(f"CAST({doc} AS string) AS d", f"{text} AS t").mapInPandas(run, schema)
 

@@ -31,6 +31,12 @@ def siblings(chunks: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return asked.join(other, "parent_id").where("chunk_id <> sibling_id").select("chunk_id", "sibling_id")
 
 
+def sibling_counts(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, siblings): how many other chunks have the same parent. Counted first, so a hot parent is one row."""
+    n = chunks.where("parent_id IS NOT NULL").groupBy("parent_id").agg((F.count("*") - 1).alias("siblings"))
+    return chunks.select("chunk_id", "parent_id").join(n, "parent_id").select("chunk_id", "siblings")
+
+
 def links(chunks: DataFrame, order: str = "sequence_position") -> DataFrame:
     """prev_id and next_id within a document and level, in order."""
     w = Window.partitionBy("document_id", "level").orderBy(order, "chunk_id")
