@@ -120,20 +120,24 @@ def split_oversized(sections: DataFrame, config: DataFrame) -> DataFrame:
     need = F.least("__k.level_1_size", "__k.level_2_size")
     big = s.join(c, "__c").where(F.floor(F.length("content") / UNIT) > need).select("doc_id", "section_no", "content", "__k.*")
 
+    columns = ["doc_id", "section_no", "level", "piece_no", "start_char", "end_char", "ended_at", "cut_at", "piece"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            held: list[tuple] = []
             for doc, no, text, *sizes, overlap in pdf.itertuples(index=False):
                 cuts, longest = boundaries(text)
                 for level, limit in enumerate(sizes, 1):
                     if pd.isna(limit) or len(text) // UNIT <= limit:
                         continue
                     where = cut_level(longest, int(limit))
-                    got = list(pieces(text, cuts, int(limit), 0 if pd.isna(overlap) else int(overlap)))
-                    yield pd.DataFrame({
-                        "doc_id": doc, "section_no": no, "level": level, "piece_no": range(len(got)),
-                        "start_char": [g[0] for g in got], "end_char": [g[1] for g in got], "ended_at": [g[2] for g in got],
-                        "cut_at": where, "piece": [text[g[0] : g[1]] for g in got],
-                    })
+                    got = pieces(text, cuts, int(limit), 0 if pd.isna(overlap) else int(overlap))
+                    held.extend((doc, no, level, i, a, b, kind, where, text[a:b]) for i, (a, b, kind) in enumerate(got))
+                if len(held) >= 2000:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=columns)
 
     return big.mapInPandas(run, "doc_id string, section_no int, level int, piece_no int, start_char long, end_char long, ended_at string, cut_at string, piece string")
 
