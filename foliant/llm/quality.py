@@ -56,6 +56,7 @@ def line_kind(line: str) -> str:
         return ""
     bullet = _BULLET.match(line) or _NUMBER.match(line)
     ended = _END.search(s)
+    tail = s[-200:]  # what is tested at the line's end stands there
     words = s.lower().split()
     common = sum(map(_TELLING.__contains__, words))
     if _HTML.search(s) or _QUOTED.match(s):
@@ -74,7 +75,7 @@ def line_kind(line: str) -> str:
         return "table"
     like = sum(map(len, _WORDLIKE.findall(s)))
     solid = len(s) - s.count(" ") or 1
-    if (common >= 1 and common >= 0.12 * len(words) and like >= 0.55 * solid) or (ended and like >= 0.7 * solid and len(words) >= 3 and not _LEADER.search(s)):
+    if (common >= 1 and common >= 0.12 * len(words) and like >= 0.55 * solid) or (ended and like >= 0.7 * solid and len(words) >= 3 and not _LEADER.search(tail)):
         if not (bullet and common <= 1 and not ended):
             return "prose"
     if len(words) >= 8 and common < 0.06 * len(words) and not ended and len(set(words)) <= len(words) / 2:
@@ -83,7 +84,7 @@ def line_kind(line: str) -> str:
         letters = _ASCII.sub("", s.lower())
         if len(letters) >= 24 and len(_VOWEL.findall(letters)) < 0.29 * len(letters) and not any(map(str.isdigit, s)):
             return "junk"  # letters that don't make words
-    if _LEADER.search(s) or (_INDEX.search(s) and like >= 0.3 * solid):
+    if _LEADER.search(tail) or (_INDEX.search(tail) and like >= 0.3 * solid):
         return "list"
     if _PDF.search(s) and like < 0.75 * solid:
         return "junk"
