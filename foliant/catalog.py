@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.common import read_table
-from foliant.functions import extract
+from foliant.functions import extract, records
 from foliant.functions import text as tx
 from foliant.functions.vectors import offline_embedding
 from foliant.operators import chunker, concepts, graph, quality, search, store
@@ -129,7 +129,7 @@ def slugs(s, d):
     return read_table(s, d, "documents").where("title IS NOT NULL").select("doc_id", tx.slug("title").alias("slug"), tx.file_slug("title").alias("file_name"))
 
 
-@query("lead_summaries")
+@query("lead_summaries", "", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')[1:3], ' ') AS summary FROM documents")
 def lead_summaries(s, d):
     return read_table(s, d, "documents").select("doc_id", tx.lead("text", 3).alias("summary"))
 
@@ -257,6 +257,16 @@ def graph_hops(s, d):
     return g.run("summary_parent", sm.select(F.col("summary_id").alias("id"))).select("origin", "summary_id")
 
 
+@query("invalid_chunks", "cur meta des", "SELECT chunk_id FROM des WHERE content IS NULL OR level IS NULL OR token_count IS NULL OR coalesce(semantic_type NOT IN ('definition', 'example', 'procedure', 'theorem', 'narrative', 'cli_command', 'code_example'), false)")
+def invalid_chunks(s, d):
+    return t.described(s, d).where(F.size(records.chunk_errors()) > 0).select("chunk_id")
+
+
+@query("chunk_nodes")
+def chunk_nodes(s, d):
+    return records.to_node(t.described(s, d).drop("ingested_at"))
+
+
 # --- joins and sequences -------------------------------------------------------------------------------------------
 
 
@@ -383,10 +393,13 @@ def semantic_top_k(s, d):
     return search.search_similar(t.vectors(s, d), PROBE, 10, None, good).select("chunk_id", "score")
 
 
-@query("semantic_top_k_many")
+PROBES = [[((i * 37 + j * 11 + i * j % 13) % 101 - 50) / 50.0 for i in range(DIM)] for j in range(8)]  # a stated set of query vectors
+_PS = ", ".join(f"({j}::BIGINT, {[*p]}::DOUBLE[])" for j, p in enumerate(PROBES))
+
+
+@query("semantic_top_k_many", "vec", f"SELECT query, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.query, chunk_id, list_cosine_similarity(embedding, q.v) AS score FROM vec, (VALUES {_PS}) q(query, v) WHERE {_USABLE} AND list_dot_product(embedding, embedding) > 0)) WHERE rank <= 5")
 def semantic_top_k_many(s, d):
-    rng = np.random.default_rng(11)
-    return search.search_many(t.vectors(s, d), rng.standard_normal((16, DIM)), list(range(16)), 5)
+    return search.search_many(t.vectors(s, d), np.array(PROBES), list(range(len(PROBES))), 5)
 
 
 @query("diverse_results")

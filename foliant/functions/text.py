@@ -91,7 +91,7 @@ def formatted_terms(c: Column | str) -> Column:
     """Bold, then italic terms of one to six words; of spellings that differ in case the first stays."""
     c = F.coalesce(_c(c), F.lit(""))
     terms = F.concat(F.regexp_extract_all(c, F.lit(r"\*\*([^*]+)\*\*"), 1), F.regexp_extract_all(c, F.lit(r"(?<!\*)\*([^*]+)\*(?!\*)"), 1))
-    terms = F.filter(F.transform(terms, F.trim), lambda t: F.regexp_count(t, F.lit(r"\S+")).between(1, 6))
+    terms = F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: F.regexp_count(t, F.lit(r"\S+")).between(1, 6))
     lows = F.transform(terms, F.lower)
     return F.filter(terms, lambda t, i: F.array_position(lows, F.lower(t)) == i + 1)
 
@@ -148,7 +148,7 @@ def preview(c: Column | str, n: int = 3000, suffix: str = "...") -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Sentences of a text: a cut after . ! or ? and white space."""
-    return F.filter(F.transform(F.split(F.trim(_c(c)), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.trim(_c(c)), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def lead(c: Column | str, n: int = 3) -> Column:

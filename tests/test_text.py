@@ -43,6 +43,7 @@ def test_slugs(spark):
 
 def test_lead_and_preview(spark):
     assert one(spark, "A b. C d! E f? G.", lambda c: tx.lead(c, 2)) == "A b. C d!"
+    assert one(spark, "It is 0. See Fig. 2.15 now. 3 x.", lambda c: tx.lead(c, 4)) == "It is 0. See Fig. 2.15 now. 3 x."
     assert one(spark, "abcdef", lambda c: tx.preview(c, 3)) == "abc..."
 
 
