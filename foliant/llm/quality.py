@@ -3,7 +3,7 @@
 Method: every statistic gets its exact rank within the texts of one language. Different values are counted first, so
 that a value shared by a third of all rows is one row, then sorted over range partitions; a partition's ranks start
 at the totals of the partitions before it. The tail probabilities that follow from the ranks are combined over the
-statistics into an outlier score. Outliers are then looked at line by line: what most of their text is decides.
+statistics into an outlier score, which ranks the texts and excludes none. What most of a text is, line by line, decides.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from foliant.common import cut_lineage, read_table
 
 WORDS_A_PAGE = 300
-OUTLIER = 2.0  # least outlier score (sum of -ln of tail probabilities) of a candidate
 #: Function words by language (fixed values).
 COMMON = {
     "en": "the of and a to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would into has more her two like could no than been its who now my made over did down only may very after called just where i you he any under even however whereas while although because until unless during between through against such both either neither nor upon within without",
@@ -201,17 +200,22 @@ def outlier_scores(stats: DataFrame, statistics: dict[str, int] = STATISTICS) ->
     return rows.join(scores, "__row").drop("__row")
 
 
-def kinds(stats: DataFrame, least: float = OUTLIER) -> DataFrame:
-    """(doc_id, kind, outlier_score) of outliers most of whose text is list entries, table rows or junk.
+def mostly(stats: DataFrame) -> DataFrame:
+    """The rows of ``stats`` most of whose text is list entries, table rows or junk, with ``kind``.
 
     Lines count by their length; headings and code fences count for nothing. Of equal shares, junk comes before table
-    before list. Rows are judged one by one, so repeated doc_ids give repeated rows. Empty texts are no case.
+    before list. Rows are judged one by one, so repeated doc_ids give repeated rows, and no row is judged by how many
+    are like it. Empty texts are no case.
     """
-    scored = outlier_scores(stats).where(F.col("outlier_score") >= least)
     other = F.col("list_share") + F.col("table_share") + F.col("junk_share")
     top = F.greatest("list_share", "table_share", "junk_share")
     kind = F.when(F.col("junk_share") == top, "junk").when(F.col("table_share") == top, "table").otherwise("list")
-    return scored.where(other > 0.5).select("doc_id", kind.alias("kind"), "outlier_score")
+    return stats.where(other > 0.5).withColumn("kind", kind)
+
+
+def kinds(stats: DataFrame) -> DataFrame:
+    """(doc_id, kind, outlier_score) of the rows of ``mostly``; the score, for ranking, is the one among all of ``stats``."""
+    return mostly(outlier_scores(stats)).select("doc_id", "kind", "outlier_score")
 
 
 def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,4 +223,4 @@ def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kinds(cut_lineage(text_statistics(read_table(spark, sf_dir, "documents")))).select("doc_id", "kind")
+    return mostly(text_statistics(read_table(spark, sf_dir, "documents"))).select("doc_id", "kind")

@@ -37,6 +37,21 @@ def test_a_third_of_the_rows_may_be_lists(spark):
     assert {r.doc_id for r in q.kinds(q.text_statistics(frame(spark, texts))).collect()} == set(range(20, 30))
 
 
+GERMAN_LIST = "\n".join(f"• {x} und {y}" for x, y in (("Bestand", "Planung"), ("Bericht", "Woche"), ("Lager", "Halle"), ("Rohre", "Ventile"), ("Kisten", "Paletten")))
+
+
+def test_a_text_is_found_however_frequent_its_like_in_its_language(spark):
+    texts = [PROSE] * 60 + [GERMAN] * 3 + [GERMAN_LIST] * 10
+    stats = q.text_statistics(frame(spark, texts))
+    assert {r.language for r in stats.where("doc_id >= 60").collect()} == {"de"}
+    assert {(r.doc_id, r.kind) for r in q.kinds(stats).collect()} == {(i, "list") for i in range(63, 73)}
+
+
+def test_the_only_text_of_its_language_is_found(spark):
+    texts = [PROSE] * 5 + [GERMAN_LIST]
+    assert [(r.doc_id, r.kind) for r in q.kinds(q.text_statistics(frame(spark, texts))).collect()] == [(5, "list")]
+
+
 def test_empty_table(spark):
     assert q.kinds(q.text_statistics(frame(spark, ["x"]).limit(0))).count() == 0
 
