@@ -2,8 +2,9 @@
 
 Method: a permutation index. A bounded sample of the vectors are pivots; each vector is represented by its nearest
 pivots in order and posted in the inverted files of the first few. Within a file, vectors are ranked by the footrule
-distance of their pivot orders, those near enough are compared by their cosine over 5-bit coordinates, and the
-neighbours left are reranked by the cosine over 16-bit ones, which is within 1e-5 of the exact one.
+distance of their pivot orders, those near enough are compared by their cosine over 5-bit coordinates, and every pair
+that these, within a proven bound of their rounding, leave possible is reranked by the cosine over 16-bit ones, which is
+within 1e-5 of the exact one. A file that leaves too many pairs to list is reranked as a whole, in blocks.
 
 Pivots are drawn from the data, so dense regions get more of them and files stay about as long as one another; a file
 that the sample shows to be long all the same is compared in blocks. Equal vectors are one class up to the result.
@@ -27,7 +28,9 @@ FILE = 512  # vectors to a pivot; the pivots are a sample of one in so many vect
 MOST_PIVOTS = 8192  # and at most so many (12 MB)
 FOOTRULE = 0.9  # share of the largest footrule distance up to which pairs are compared
 BLOCK = 6144  # members of a file in one block
-SLACK = 0.02  # what 5-bit coordinates may change of a cosine
+SLACK = 0.02  # what 5-bit coordinates usually change of a cosine, if no coordinate is far above the others; no bound
+ANGLE = 1 / 20_000  # unit of the angles by which 5-bit coordinates turn a vector, as posted
+LISTED = 32  # pairs a member up to which a file lists them; beyond, its members are reranked with one another
 FILTER_BITS = 1 << 25
 _PRIME = np.random.Generator(np.random.PCG64(3)).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -92,17 +95,32 @@ def unpack5(raw: np.ndarray, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def compare_blocks(orders: np.ndarray, vectors: np.ndarray, split: int, near: float, least: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
+def turned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The angles between unit vectors and their rounded forms, in units of ANGLE, rounded up."""
+    chord = np.sqrt(((x.astype(np.float64) - y) ** 2).sum(axis=1))
+    return np.ceil((2 * np.arcsin(np.minimum(chord / 2, 1)) + 1e-5) / ANGLE).astype(np.uint16)
+
+
+def compare_blocks(orders: np.ndarray, vectors: np.ndarray, split: int, near: float, least: float, keep: int, turn: np.ndarray | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """Pairs (i, j) of one file, or of its first ``split`` members with the others, whose footrule distance is at most
-    ``near`` of the largest and whose cosine is at least ``least``, if either is among the ``keep`` nearest of the other."""
+    ``near`` of the largest, and whose cosine may be at least ``least`` and among the ``keep`` largest of either; None if
+    more than ``most`` may reach ``least``.
+
+    ``turn`` bounds the angle by which each vector is off. The angle of a pair is then off by at most the sum of its
+    two, so no pair that belongs to the result is left out, however near the others are.
+    """
     k = orders.shape[1]
     total = k * (k + 1) / 2
     # footrule = 2 * (total - shared weight), so a bound on it is one on the shared weight
     shared = total * (1 - near)
     n = len(orders)
+    exact = turn is None
+    turn = np.zeros(n) if exact else turn
+    blur = 0.0 if exact else 2e-6  # of cosines in single precision
+    floor = least if exact else np.cos(min(np.pi, np.arccos(least) + 2 * turn.max(initial=0))) - blur
     left, right = (np.arange(split), np.arange(split, n)) if split else (np.arange(n), np.arange(n))
-    score = {i: [] for i in (0, 1, 2)}
-    step = 512
+    score = {i: [] for i in (0, 1, 2, 3)}
+    step, listed = 512, 0
     for a in range(0, len(left), step):
         i = left[a : a + step]
         cols = right if split else right[a:]
@@ -111,24 +129,61 @@ def compare_blocks(orders: np.ndarray, vectors: np.ndarray, split: int, near: fl
             u = _unary(np.concatenate([orders[i], orders[j]]), k)
             ok = u[: len(i)] @ u[len(i) :].T >= max(shared, 1)
             c = vectors[i] @ vectors[j].T
-            ok &= c >= least
+            ok &= c >= floor
             if not split:
                 ok &= i[:, None] < j[None, :]
             x, y = np.nonzero(ok)
-            for s, v in zip((0, 1, 2), (i[x], j[y], c[x, y]), strict=True):
+            x, y, low = i[x], j[y], c[x, y]
+            high = low
+            if not exact:
+                off = turn[x] + turn[y]
+                low, high = low.astype(np.float64) - blur, low.astype(np.float64) + blur
+                high = np.cos(np.maximum(0, np.arccos(np.clip(high, -1, 1)) - off))
+                low = np.cos(np.minimum(np.pi, np.arccos(np.clip(low, -1, 1)) + off))
+                may = high >= least - 1e-6
+                x, y, low, high = x[may], y[may], low[may], high[may]
+            listed += len(x)
+            if most is not None and listed > most:
+                return None
+            for s, v in zip((0, 1, 2, 3), (x, y, low, high), strict=True):
                 score[s].append(v)
-    x, y, c = (np.concatenate(score[s]) if score[s] else np.zeros(0, np.int64) for s in (0, 1, 2))
+    x, y, low, high = (np.concatenate(score[s]) if score[s] else np.zeros(0, np.int64) for s in (0, 1, 2, 3))
     if not len(x):
         return x.astype(np.int64), y.astype(np.int64)
-    both, other = np.concatenate([x, y]), np.concatenate([c, c])
+    both, other = np.concatenate([x, y]), np.concatenate([low, low])
     o = np.lexsort((-other, both))
-    place = np.empty(len(o), np.int64)
     first = np.concatenate([[True], both[o][1:] != both[o][:-1]])
-    place[o] = np.arange(len(o)) - np.maximum.accumulate(np.where(first, np.arange(len(o)), 0))
-    good = (place[: len(x)] < keep) | (place[len(x) :] < keep)
+    place = np.arange(len(o)) - np.maximum.accumulate(np.where(first, np.arange(len(o)), 0))
+    bound = np.full(n, -np.inf)  # keep others are at least so near
+    bound[both[o][place == keep - 1]] = other[o][place == keep - 1]
+    good = (high >= bound[x]) | (high >= bound[y])
     return x[good], y[good]
 
 
+def nearest_within(x: np.ndarray, split: int, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine) of unit vectors, or of the first ``split`` with the others: for each its ``k`` nearest of at least
+    ``least``, of equally near ones the first. Both ways of a pair count; each pair comes once, i < j."""
+    n = len(x)
+    sides = [(np.arange(split), np.arange(split, n)), (np.arange(split, n), np.arange(split))] if split else [(np.arange(n), np.arange(n))]
+    out = []
+    for rows, cols in sides:
+        for a in range(0, len(rows), 512):
+            i = rows[a : a + 512]
+            s = x[i] @ x[cols].T
+            if not split:
+                s[np.arange(len(i)), i] = -2
+            s[s < least] = -2
+            r = min(k, len(cols))
+            kth = np.partition(s, len(cols) - r, axis=1)[:, len(cols) - r, None]
+            ahead, equal = s > kth, s == kth
+            ahead |= equal & (np.cumsum(equal, axis=1) <= r - ahead.sum(axis=1, keepdims=True))
+            p, q = np.nonzero(ahead & (s >= least))
+            out.append((np.minimum(i[p], cols[q]), np.maximum(i[p], cols[q]), s[p, q]))
+    i, j, s = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    _, one = np.unique(i * n + j, return_index=True)
+    return i[one], j[one], s[one]
+
+
 def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: int = DIM, posted: int = POSTED, order: int = ORDER, file: int = FILE) -> tuple[DataFrame, DataFrame]:
     """(members (chunk_id, class), links (class, other, similarity)): for each class of equal usable vectors, similar
     classes with an exact cosine of at least ``least``, both ways, among which are its ``k`` nearest ones.
@@ -179,7 +234,9 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
             new = np.array([i for i, c in enumerate(cls.tolist()) if known[i] and c not in seen and not seen.add(c)], np.int64)
             x, cls = x[new], cls[new]
             o = _pivot_orders(x, pivots, k_order)
-            both = np.concatenate([o.astype(np.uint16).view(np.uint8), pack5(x)], axis=1)
+            packed = pack5(x)
+            turn = turned(x, unpack5(packed, dim)).reshape(-1, 1).view(np.uint8)
+            both = np.concatenate([o.astype(np.uint16).view(np.uint8), turn, packed], axis=1)
             codes = pa.array([c.tobytes() for c in both], pa.binary())
             for j in range(m):
                 nb = blocks[o[:, j]]
@@ -197,17 +254,20 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
         _, one = np.unique(cls, return_index=True)  # the same class from several tasks
         one = one[np.argsort(second[one], kind="stable")] if split else one
         cls, cut = cls[one], int((~second[one]).sum()) if split else 0
-        code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(-1, 2 * k_order - (-dim // 3) * 2)[one]
-        perm, vec = np.ascontiguousarray(code[:, : 2 * k_order]).view(np.uint16), unpack5(code[:, 2 * k_order :], dim)
+        code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(-1, 2 * k_order + 2 - (-dim // 3) * 2)[one]
+        head, vec = np.ascontiguousarray(code[:, : 2 * k_order + 2]).view(np.uint16), unpack5(code[:, 2 * k_order + 2 :], dim)
+        perm, turn = head[:, :k_order], head[:, k_order] * ANGLE
         if split and cut in (0, len(cls)):
             x = y = np.zeros(0, np.int64)
         else:
-            x, y = compare_blocks(perm, vec, cut, FOOTRULE, least - SLACK, 2 * k)
+            got = compare_blocks(perm, vec, cut, FOOTRULE, least, k, turn, LISTED * len(cls))
+            x, y = (np.arange(len(cls)),) * 2 if got is None else got  # a member with itself: all are compared when reranked
         return pa.table({"file": pa.array(np.full(len(x), key[0].as_py(), np.int64)), "class_1": pa.array(np.minimum(cls[x], cls[y])), "class_2": pa.array(np.maximum(cls[x], cls[y]))})
 
     posts = v.select("embedding").mapInArrow(post, "file long, class long, code binary")
     pairs = posts.groupBy("file").applyInArrow(search, "file long, class_1 long, class_2 long")
-    pairs = cut_lineage(pairs.groupBy("class_1", "class_2").agg(F.min("file").alias("file")))
+    whole = F.when(F.col("class_1") == F.col("class_2"), F.col("file")).alias("whole")  # stays with each such file
+    pairs = cut_lineage(pairs.groupBy("class_1", "class_2", whole).agg(F.min("file").alias("file")).drop("whole"))
     needed = spark.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("class_1", "class_2")).alias("class"))))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,18 +284,28 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
     # the pairs of a file share their vectors: each is sent there once, not once a pair
     members_of = pairs.select(F.col("file").alias("at"), F.explode(F.array("class_1", "class_2")).alias("class")).distinct()
 
-    def rerank(pair: pa.Table, vecs: pa.Table) -> pa.Table:
+    def rerank(key: tuple[pa.Scalar, ...], pair: pa.Table, vecs: pa.Table) -> pa.Table:
         cls = vecs["class"].to_numpy()
         o = np.argsort(cls)
         x = np.frombuffer(b"".join(vecs["vec"].to_pylist()), np.int16).reshape(-1, dim)[o].astype(np.float32)
         x /= np.sqrt((x.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
         one, two = pair["class_1"].to_numpy(), pair["class_2"].to_numpy()
+        own, one, two = one[one == two], one[one != two], two[one != two]
         i, j = np.searchsorted(cls[o], one), np.searchsorted(cls[o], two)
         s = np.concatenate([(x[i[a : a + 4096]].astype(np.float64) * x[j[a : a + 4096]]).sum(axis=1) for a in range(0, len(i), 4096)] or [np.zeros(0)])
+        if len(own):  # the file as a whole
+            file = key[0].as_py()
+            lo, split = (file >> 20) & 0xFFFFF, (file >> 20) & 0xFFFFF != file & 0xFFFFF
+            own = np.sort(own)
+            second = (own.view(np.uint64) % np.uint64(shared.value[1][file >> 40])).astype(np.int64) != lo
+            own = own[np.argsort(second, kind="stable")] if split else own
+            a, b, t = nearest_within(x[np.searchsorted(cls[o], own)].astype(np.float64), int((~second).sum()) if split else 0, least - 1e-6, k)
+            one, two = np.concatenate([one, np.minimum(own[a], own[b])]), np.concatenate([two, np.maximum(own[a], own[b])])
+            s = np.concatenate([s, t])
         return pa.table({"class": one, "other": two, "similarity": np.minimum(1.0, s)})
 
     done = pairs.groupBy("file").cogroup(members_of.join(exact, "class").groupBy("at")).applyInArrow(rerank, "class long, other long, similarity double")
-    done = done.where(F.col("similarity") >= least - 1e-6)
+    done = done.where(F.col("similarity") >= least - 1e-6).groupBy("class", "other").agg(F.max("similarity").alias("similarity"))
     alive = members.select("class").distinct()
     done = done.join(alive, "class", "left_semi").join(alive.withColumnRenamed("class", "other"), "other", "left_semi")
     done = cut_lineage(done.select("class", "other", "similarity"))  # used twice, so that it isn't made twice

@@ -71,3 +71,48 @@ def test_blocks_of_a_file_give_the_same_pairs():
     for a, b in ((0, half), (half, len(x))):
         parts |= {(i + a, j + a) for i, j in zip(*nb.compare_blocks(o[a:b], x[a:b], 0, 0.9, 0.8, 1000), strict=True)}
     assert whole == parts and whole
+
+
+def dense(n, cosine, seed=0, spike=0.0):
+    """``n`` unit vectors of about the same mutual cosine, the first coordinate so many times the root mean square."""
+    rng = np.random.default_rng(seed)
+    centre = rng.standard_normal(nb.DIM)
+    centre[0] = spike or centre[0]
+    x = np.sqrt(cosine) * centre / np.linalg.norm(centre) + np.sqrt((1 - cosine) / nb.DIM) * rng.standard_normal((n, nb.DIM))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def pairs_by_force(x, least=0.8, k=5):
+    s = x.astype(np.float64) @ x.T.astype(np.float64)
+    np.fill_diagonal(s, -2)
+    top = np.argsort(-s, axis=1)[:, :k]
+    return {(min(i, j), max(i, j)) for i in range(len(x)) for j in top[i].tolist() if s[i, j] >= least}
+
+
+def test_rounding_loses_no_pair_of_a_file():
+    for x in (dense(400, 0.99), dense(400, 0.95), dense(400, 0.8, spike=10.0), dense(400, 0.8, spike=40.0)):
+        y = nb.unpack5(nb.pack5(x), nb.DIM)
+        same = np.tile(np.arange(8, dtype=np.uint16), (len(x), 1))
+        i, j = nb.compare_blocks(same, y, 0, nb.FOOTRULE, 0.8, 5, nb.turned(x, y) * nb.ANGLE)
+        assert pairs_by_force(x) <= set(zip(i.tolist(), j.tolist(), strict=True))
+        assert nb.compare_blocks(same, y, 0, nb.FOOTRULE, 0.8, 5, nb.turned(x, y) * nb.ANGLE, 10) is None
+
+
+def test_nearest_within_a_file_in_blocks():
+    x = dense(700, 0.95).astype(np.float64)
+    i, j, s = nb.nearest_within(x, 0, 0.8, 5)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == pairs_by_force(x) and np.allclose(s, (x[i] * x[j]).sum(axis=1))
+    i, j, _ = nb.nearest_within(x, 300, 0.8, 5)
+    c = x[:300] @ x[300:].T
+    want = {(a, int(b) + 300) for a in range(300) for b in np.argsort(-c[a])[:5] if c[a, b] >= 0.8} | {(int(a), b + 300) for b in range(400) for a in np.argsort(-c[:, b])[:5] if c[a, b] >= 0.8}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    assert len(nb.nearest_within(np.tile(x[:1], (300, 1)), 0, 0.8, 5)[0]) <= 1500
+
+
+def test_dense_group_is_found_whole(spark, monkeypatch):
+    x = dense(300, 0.99)
+    df = table(spark, [(f"c{i:03}", v.tolist(), T0) for i, v in enumerate(x)])
+    want = {(f"c{i:03}", f"c{j:03}") for i, j in pairs_by_force(x)}
+    assert len(found(spark, df, posted=16, order=16) & want) >= 0.995 * len(want)  # every vector is in every file
+    monkeypatch.setattr(nb, "BLOCK", 100)
+    assert len(found(spark, df, posted=16, order=16) & want) >= 0.995 * len(want)
