@@ -1,13 +1,12 @@
 """Problem 8: how many years of schooling each English text asks for.
 
-Method: every sentence gets a distribution over three levels (primary, middle, specialist) from a regularised linear
-model over its words and over the character runs inside them; a document's mean sentence level is then calibrated to
-years. There are no labelled texts, so the model is fitted on a bounded sample of sentences labelled by the public
-Flesch-Kincaid formula at a standard sentence length: what is left of the formula then is the vocabulary. That makes
-long chains of easy clauses easy and curt sentences of learned words hard; the model carries it over to words the
-formula misjudges, because their neighbours and their parts are known.
-
-A word contributes the same to every sentence, so its three weights are computed once a task.
+Method: every sentence gets a distribution over levels of difficulty from a regularised linear model over its words,
+the character runs inside them, and its length. A document's mean sentence level is then calibrated to years. There are
+no labelled texts, so the model is fitted on a bounded sample of sentences labelled by the public Flesch-Kincaid formula,
+each with its own length: long chains of easy clauses ask for more years than the same words in short sentences. The
+model carries the formula over to words that it misjudges, because their neighbours and their parts are known.
+
+A word contributes the same to every sentence, so its weights are computed once a task.
 """
 
 from __future__ import annotations
@@ -24,11 +23,12 @@ from pyspark.sql import functions as F
 from foliant.common import read_table
 from foliant.llm.quality import COMMON
 
-SAMPLE_DOCS, SAMPLE_SENTENCES = 1500, 6  # the model is fitted on so many documents, and so many sentences of each
+SAMPLE_DOCS, SAMPLE_SENTENCES = 2000, 8  # the model is fitted on so many documents, and so many whole sentences of each
 BITS = 16  # of the hashed feature space
-STANDARD_LENGTH = 14  # words of a sentence at which the formula is applied
+LONGEST = 96  # words from which sentences count as equally long; part of the model, not a cut of the text
 PRIMARY, SPECIALIST = 5.0, 15.0
-LEVELS = (5.0, 14.0)  # the formula's years that divide the three levels of training sentences
+CUTS = (1.0, 3.0, PRIMARY, 7.0, 9.0, 11.0, 13.0, SPECIALIST, 18.0, 22.0)  # the formula's years that divide the levels of sentences
+MIDDLES = np.array([0.0, 2.0, 4.0, 6.0, 8.0, 10.0, 12.0, 14.0, 16.5, 20.0, 26.0])  # years that stand for each level
 PROSE, ENGLISH = 0.5, 0.05  # least share of the text in whole sentences, and of function words
 _EN = frozenset(COMMON["en"].split()) - {"and", "or"}
 _OTHER = [frozenset(v.split()) - {"and", "a", "in", "an", "so", "also"} for k, v in COMMON.items() if k != "en"]
@@ -63,16 +63,29 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(r.encode()) & ((1 << BITS) - 1) for r in (w, *sorted(runs))]
 
 
+def length_features() -> np.ndarray:
+    """A row for every length: its size, its logarithm, and soft steps along the way."""
+    n = np.arange(LONGEST + 1)
+    steps = 1 / (1 + np.exp(-(n[:, None] - np.arange(4, LONGEST, 4)) / 2))
+    return np.column_stack([n / 20, np.log1p(n), steps])
+
+
+def years_of(words: list[list[str]]) -> float:
+    """Flesch-Kincaid years of sentences given as words (the formula's published constants)."""
+    n = sum(map(len, words))
+    return 0.39 * n / len(words) + 11.8 * sum(syllables(w) for s in words for w in s) / n - 15.59
+
+
 class LevelModel:
-    """Weights of three levels by hashed feature, and knots that turn a mean level into years."""
+    """Weights of every level by hashed feature and by length, and knots that turn a mean level into years."""
 
-    def __init__(self, weights: np.ndarray, knots: tuple[np.ndarray, np.ndarray]):
-        self.weights, self.knots, self.cache = weights, knots, {}
+    def __init__(self, weights: np.ndarray, lengths: np.ndarray, knots: tuple[np.ndarray, np.ndarray]):
+        self.weights, self.lengths, self.knots, self.cache = weights, lengths, knots, {}
 
     def word(self, w: str) -> np.ndarray:
         v = self.cache.get(w)
         if v is None:
-            if len(self.cache) > 500_000:  # bounds the memory of a task
+            if len(self.cache) > 200_000:  # bounds the memory of a task
                 self.cache.clear()
             at = features(w)
             v = self.cache[w] = self.weights[at[1:]].mean(axis=0) + self.weights[at[0]]
@@ -80,67 +93,68 @@ class LevelModel:
 
     def levels(self, words: list[list[str]]) -> np.ndarray:
         """Distribution over the levels for each sentence."""
-        flat = np.array([self.word(w) for s in words for w in s]).reshape(-1, 3)
         n = np.array([len(s) for s in words])
-        z = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None]
+        flat = np.array([self.word(w) for s in words for w in s])
+        z = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None] + self.lengths[np.minimum(n, LONGEST)]
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def years(self, level: np.ndarray) -> np.ndarray:
+    def years(self, level: float | np.ndarray) -> np.ndarray:
         return np.interp(level, *self.knots)
 
 
-def standard_years(words: list[str]) -> float:
-    """Flesch-Kincaid years of these words in sentences of the standard length (the formula's published constants)."""
-    return 0.39 * STANDARD_LENGTH + 11.8 * sum(map(syllables, words)) / len(words) - 15.59
-
-
-def fit(sample: list[list[list[str]]], rounds: int = 60, l2: float = 1e-5, rate: float = 0.3, seed: int = 1) -> LevelModel:
+def fit(sample: list[list[list[str]]], rounds: int = 80, l2: float = 1e-5, rate: float = 0.3) -> LevelModel:
     """A model from documents as lists of sentences as lists of words. Without any, it calls everything middle."""
-    flat = [s for d in sample for s in d if len(s) >= 4]
-    weights = np.zeros((1 << BITS, 3))
+    flat, kinds = [s for d in sample for s in d], len(MIDDLES)
+    shape = length_features()
     if not flat:
-        return LevelModel(weights, (np.array([0.0, 2.0]), np.array([9.0, 10.0])))
-    label = np.searchsorted(LEVELS, [standard_years(s) for s in flat])
-    table = {w: features(w) for s in flat for w in s}
-    idx, val, ptr = [], [], [0]
-    for s in flat:
-        for w in s:
-            f = table[w]
-            idx.extend(f)
-            val.extend([1.0 / len(s), *[1.0 / (len(f) - 1) / len(s)] * (len(f) - 1)])
-        ptr.append(len(idx))
-    idx, val = np.array(idx), np.array(val)
-    row = np.repeat(np.arange(len(flat)), np.diff(ptr))
-    goal = np.eye(3)[label]
-    share = np.bincount(label, minlength=3) / len(label)
-    cost = (1 / np.maximum(share, 0.02))[label]
-    cost = (cost / cost.mean())[:, None]
-    m, v = np.zeros_like(weights), np.zeros_like(weights)
+        return LevelModel(np.zeros((1 << BITS, kinds)), np.zeros((LONGEST + 1, kinds)), (np.array([0.0, 30.0]), np.array([9.0, 10.0])))
+    label = np.searchsorted(CUTS, [years_of([s]) for s in flat])
+    # a sentence is the mean of its words, a word the sum of its features: two sparse steps, the second over words only
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for s in flat for w in s))}
+    own = [features(w) for w in number]
+    places, f_of = np.array([p for f in own for p in f]), np.concatenate([[0], np.cumsum([len(f) for f in own])])
+    f_weight = np.concatenate([[1.0, *[1.0 / (len(f) - 1)] * (len(f) - 1)] for f in own])
+    f_word = np.repeat(np.arange(len(own)), np.diff(f_of))
+    n = np.array([len(s) for s in flat])
+    word, starts = np.array([number[w] for s in flat for w in s]), np.concatenate([[0], np.cumsum(n)[:-1]])
+    row, long = np.repeat(np.arange(len(flat)), n), shape[np.minimum(n, LONGEST)]
+    used, slot = np.unique(places, return_inverse=True)
+    theta = np.zeros((len(used) + shape.shape[1], kinds))
+    goal = np.eye(kinds)[label]
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        z = np.add.reduceat(weights[idx] * val[:, None], ptr[:-1], axis=0)
+        by_word = np.add.reduceat(theta[slot] * f_weight[:, None], f_of[:-1], axis=0)
+        z = np.add.reduceat(by_word[word], starts, axis=0) / n[:, None] + long @ theta[len(used) :]
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        err = (z / z.sum(axis=1, keepdims=True) - goal) * cost / len(flat)
-        g = np.stack([np.bincount(idx, val * err[row, c], minlength=1 << BITS) for c in range(3)], axis=1) + l2 * weights
+        err = (z / z.sum(axis=1, keepdims=True) - goal) / len(flat)
+        back = err / n[:, None]
+        g = np.empty_like(theta)
+        for c in range(kinds):
+            to_word = np.bincount(word, back[row, c], minlength=len(own))
+            g[: len(used), c] = np.bincount(slot, to_word[f_word] * f_weight, minlength=len(used))
+        g[len(used) :] = long.T @ err
+        g += l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model = LevelModel(weights, (np.array([0.0, 2.0]), np.array([0.0, 2.0])))
-    docs = [d for d in ([s for s in d if len(s) >= 4] for d in sample) if d]
-    level = np.array([mean_level(model, d) for d in docs])
-    years = np.array([standard_years([w for s in d for w in s]) for d in docs])
+        theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    weights = np.zeros((1 << BITS, kinds))
+    weights[used] = theta[: len(used)]
+    model = LevelModel(weights, shape @ theta[len(used) :], (MIDDLES[[0, -1]], MIDDLES[[0, -1]]))
+    docs = [d for d in sample if d]
+    level = np.array([mean_level(model.levels(d)) for d in docs])
+    years = np.array([years_of(d) for d in docs])
     # calibration: medians of the formula's years over bins of the mean level, made non-decreasing
-    edges = np.linspace(0, 2, 21)
-    at = np.clip(np.digitize(level, edges) - 1, 0, 19)
-    knots = [(level[at == b].mean(), np.median(years[at == b])) for b in range(20) if (at == b).any()]
+    edges = np.linspace(0, MIDDLES[-1], 53)
+    at = np.digitize(level, edges)
+    knots = [(np.median(level[at == b]), np.median(years[at == b])) for b in np.unique(at)]
     x, y = (np.array(k) for k in zip(*knots, strict=True))
     model.knots = (x, np.maximum.accumulate(y))
     return model
 
 
-def mean_level(model: LevelModel, words: list[list[str]]) -> float:
-    p = model.levels(words)
-    n = np.array([len(s) for s in words])
-    return float((p @ np.arange(3) * n).sum() / n.sum())
+def mean_level(p: np.ndarray) -> float:
+    """The mean of the years that stand for the levels, over the sentences' distributions."""
+    return float((p @ MIDDLES).mean())
 
 
 def _parse(text: str) -> tuple[list[list[str]], float, float]:
@@ -170,7 +184,6 @@ def fit_on(documents: DataFrame, docs: int = SAMPLE_DOCS, per_doc: int = SAMPLE_
             rows = []
             for h, t in pdf.itertuples(index=False):
                 words, whole, english = _parse(t)
-                words = [w[:200] for w in words if len(w) >= 4]
                 if whole >= PROSE and english >= ENGLISH and words:
                     rows.append((h, [" ".join(words[i]) for i in sorted({int(i) for i in np.linspace(0, len(words) - 1, per_doc)})]))
             yield pd.DataFrame(rows, columns=["h", "s"])
@@ -186,12 +199,14 @@ def fit_on(documents: DataFrame, docs: int = SAMPLE_DOCS, per_doc: int = SAMPLE_
 def reading_levels(documents: DataFrame, model: LevelModel | None = None) -> DataFrame:
     """(doc_id, years, primary, middle, specialist, sentences, english_prose), one row a document row.
 
-    The three levels are the shares of words in sentences of that level. years is null for texts without words. Null
-    and empty texts aren't prose. Other columns are ignored. Without a ``model``, one is fitted on a bounded sample.
+    The three shares are those of the sentences that ask for at most 5, for 5 to 15 and for 15 years or more. years is
+    null for texts without words. Null and empty texts aren't prose. Other columns are ignored. Without a ``model``, one
+    is fitted on a bounded sample.
     """
     model = model or fit_on(documents)
-    shared = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.knots))
+    shared = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.lengths, model.knots))
     id_type = documents.schema["doc_id"].dataType.simpleString()
+    low, high = CUTS.index(PRIMARY) + 1, CUTS.index(SPECIALIST) + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = LevelModel(*shared.value)
@@ -202,9 +217,9 @@ def reading_levels(documents: DataFrame, model: LevelModel | None = None) -> Dat
                 if not words:
                     rows.append((None, None, None, None, 0, False))
                     continue
-                p, n = m.levels(words), np.array([len(s) for s in words])
-                share = (p * n[:, None]).sum(axis=0) / n.sum()
-                rows.append((float(m.years(share @ np.arange(3))), *map(float, share), len(words), whole >= PROSE and english >= ENGLISH))
+                p = m.levels(words)
+                share = p.mean(axis=0)
+                rows.append((float(m.years(mean_level(p))), float(share[:low].sum()), float(share[low:high].sum()), float(share[high:].sum()), len(words), whole >= PROSE and english >= ENGLISH))
             out = pd.DataFrame(rows, columns=["years", "primary", "middle", "specialist", "sentences", "english_prose"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out

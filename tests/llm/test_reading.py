@@ -20,15 +20,22 @@ def texts(kind, n, seed, held_out=False):
     return [" ".join(pattern.format(*(rng.choice(pool) for _ in range(pattern.count("{}")))) for _ in range(8)) for _ in range(n)]
 
 
+def chained(n, seed, held_out=False):
+    """Easy texts whose sentences are strung together with "and", four at a time."""
+    for t in texts("easy", n, seed, held_out):
+        parts = t.rstrip(".").split(". ")
+        yield " ".join(" and ".join(parts[i : i + 4]) + "." for i in range(0, len(parts), 4))
+
+
 @pytest.fixture(scope="module")
 def model():
-    docs = texts("easy", 40, 1) + texts("middle", 60, 2) + texts("hard", 40, 3)
+    docs = texts("easy", 40, 1) + texts("middle", 60, 2) + texts("hard", 40, 3) + list(chained(30, 10))
     return rd.fit([[rd._WORD.findall(s) for s, _ in rd.sentences(t)] for t in docs])
 
 
 def years(model, text):
     words, _, _ = rd._parse(text)
-    return float(model.years(rd.mean_level(model, words)))
+    return float(model.years(rd.mean_level(model.levels(words))))
 
 
 def test_held_out_words(model):
@@ -36,9 +43,18 @@ def test_held_out_words(model):
     assert sum(right) / len(right) >= 0.9
 
 
-def test_length_alone_does_not_matter(model):
-    chain = texts("easy", 1, 7)[0].lower().replace(".", " and") + " end."
-    assert years(model, chain) < 5 and years(model, "Rationalisation presupposes accountability.") > 15
+def test_length_counts(model):
+    """Held-out chains of easy clauses are no longer for first readers, as the formula says of them."""
+    for t in chained(20, 7, held_out=True):
+        words, _, _ = rd._parse(t)
+        assert rd.years_of(words) > 6 and years(model, t) > 5
+    assert all(years(model, t) <= 5 for t in texts("easy", 20, 11, held_out=True))
+
+
+def test_levels_are_distributions(model):
+    p = model.levels([["the", "dog", "sees"], ["capitalisation"] * 300, ["x"]])
+    assert p.shape == (3, len(rd.MIDDLES)) and abs(p.sum(axis=1) - 1).max() < 1e-9
+    assert rd.fit([]).years(12.0) >= 9
 
 
 def test_rows(spark, model):
