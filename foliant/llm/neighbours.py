@@ -1,18 +1,23 @@
 """Problem 3: the most similar vectors of every vector.
 
-Method: a permutation index. A bounded sample of the vectors are pivots; each vector is represented by its nearest
-pivots in order and posted in the inverted files of the first few. Within a file, vectors are ranked by the footrule
-distance of their pivot orders, those near enough are compared by their cosine over 5-bit coordinates, and every pair
-that these, within a proven bound of their rounding, leave possible is reranked by the cosine over 16-bit ones, which is
-within 1e-5 of the exact one. A file that leaves too many pairs to list is reranked as a whole, in blocks.
-
-Pivots are drawn from the data, so dense regions get more of them and files stay about as long as one another; a file
-that the sample shows to be long all the same is compared in blocks. Equal vectors are one class up to the result.
+Method: a permutation index. A bounded sample of the vectors are pivots, and each vector is posted in the inverted files
+of its nearest ones. Within a file each vector is the order of its nearest among further pivots, directions drawn at
+random, after what the file's members have in common is taken out of it (it would make all orders alike). Pairs are
+ranked by the footrule distance of these orders and cut where a pair as similar as asked would hardly ever lie; as the
+directions are random, how far that is follows from geometry, whatever the data (``least_weights``). Those left are
+compared by their cosine over 5-bit coordinates, and every pair that these, within a proven bound of their rounding,
+leave possible is reranked by the cosine over 16-bit ones, which is within 1e-5 of the exact one. A file that leaves too
+many pairs to list is reranked as a whole, in blocks.
+
+Pivots are as many as the vectors ask for, up to a broadcast of fixed size, and are looked up in two levels. A file that
+is long all the same is compared in a few blocks, and one too long for these is divided by the first directions of its
+members' orders, so that a vector's postings never grow with the data. Equal vectors are one class up to the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +28,16 @@ from foliant.common import cut_lineage, latest, read_table
 from foliant.llm.hashing import mix
 
 DIM, K, LEAST = 384, 5, 0.80
-POSTED, ORDER = 3, 8  # inverted files of each vector, pivots in its order
+POSTED = 3  # inverted files of each vector
+DIRECTIONS, ORDER = 128, 40  # random pivots within a file, and how many of them are in a vector's order
+LOST = 0.003  # share of the pairs exactly as similar as asked that the footrule distance may part
 FILE = 512  # vectors to a pivot; the pivots are a sample of one in so many vectors,
-MOST_PIVOTS = 8192  # and at most so many (12 MB)
-FOOTRULE = 0.9  # share of the largest footrule distance up to which pairs are compared
+MOST_PIVOTS = 1 << 16  # and at most so many (25 MB as sent)
+SEARCHED = 2048  # pivots up to which all are compared with a vector; beyond, those of its nearest groups
+MOST_BLOCKS = 8  # of a file; a longer one is divided
+SUBFILES = 6  # of each vector in a divided file
 BLOCK = 6144  # members of a file in one block
-SLACK = 0.02  # what 5-bit coordinates usually change of a cosine, if no coordinate is far above the others; no bound
+SLACK = 0.01  # cosines so far below what is asked, and a share of what rounding may turn, are near enough for the footrule distance
 ANGLE = 1 / 20_000  # unit of the angles by which 5-bit coordinates turn a vector, as posted
 LISTED = 32  # pairs a member up to which a file lists them; beyond, its members are reranked with one another
 FILTER_BITS = 1 << 25
@@ -68,15 +77,75 @@ def _pivot_orders(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _unary(orders: np.ndarray, k: int) -> np.ndarray:
-    """Rows whose dot products are the sums, over shared pivots, of the smaller of the two weights k - place."""
-    local, at = np.unique(orders, return_inverse=True)
-    at = at.reshape(orders.shape)
-    out = np.zeros((len(orders), len(local), k), np.float32)
-    rows = np.arange(len(orders))
-    for place in range(orders.shape[1]):
-        out[rows, at[:, place], : k - place] = 1
-    return out.reshape(len(orders), -1)
+class Pivots:
+    """Nearest pivots; many pivots stand in groups around some of them, of which the nearest ``groups`` are searched."""
+
+    def __init__(self, pivots: np.ndarray, searched: int = SEARCHED, groups: int = 6):
+        self.pivots, self.heads = pivots, None
+        if len(pivots) > searched:
+            count = int(np.sqrt(len(pivots))) + 1
+            self.heads, self.groups = pivots[:: max(1, len(pivots) // count)], groups
+            self.group = _pivot_orders(pivots, self.heads, 1)[:, 0]
+            self.members = [np.flatnonzero(self.group == g) for g in range(len(self.heads))]
+
+    def nearest(self, x: np.ndarray, k: int) -> np.ndarray:
+        if self.heads is None:
+            return _pivot_orders(x, self.pivots, k)
+        seen = _pivot_orders(x, self.heads, min(self.groups, len(self.heads)))
+        best, at = np.full((len(x), k), -np.inf, np.float32), np.zeros((len(x), k), np.int32)
+        for g in np.unique(seen):
+            own = self.members[g]
+            rows = np.flatnonzero((seen == g).any(axis=1))
+            for a in range(0, len(rows) if len(own) else 0, 2048):
+                r = rows[a : a + 2048]
+                s = np.concatenate([best[r], x[r] @ self.pivots[own].T], axis=1)
+                i = np.concatenate([at[r], np.broadcast_to(own.astype(np.int32), (len(r), len(own)))], axis=1)
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                best[r], at[r] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+        return at
+
+
+@cache
+def directions(dim: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(11)).standard_normal((dim, DIRECTIONS)).astype(np.float32)
+
+
+def shared_weights(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Over the pivots that two orders share, the sum of the smaller of the two weights (ORDER - place), for all pairs.
+
+    The footrule distance of two orders, a missing pivot standing at place ORDER, is ORDER * (ORDER + 1) minus twice that."""
+    k = cols.shape[1]
+    table = np.zeros((DIRECTIONS, len(cols)), np.uint8)
+    for place in range(k):
+        table[cols[:, place], np.arange(len(cols))] = k - place
+    weight = np.arange(k, 0, -1).astype(np.uint8)[:, None]
+    out = np.empty((len(rows), len(cols)), np.uint16)
+    for i, order in enumerate(rows):  # what one row needs stays in the processor's cache
+        least = np.minimum(table[order], weight)
+        out[i] = least.reshape(k // 5, 5, -1).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.uint16)  # five weights fit a byte
+    return out
+
+
+GRID = 64
+
+
+@cache
+def least_weights(lost: float = LOST, pairs: int = 4000) -> np.ndarray:
+    """For a cosine of i / GRID, the shared weight below which at most the share ``lost`` of such pairs lie, less one.
+
+    The scalar products of two vectors with random directions are normal and as correlated as the vectors' cosine, so
+    this holds for vectors of any data and any dimension. None is asked of pairs that need no positive cosine."""
+    rng = np.random.Generator(np.random.PCG64(12))
+    out = np.zeros(GRID + 1, np.uint16)
+    for i in range(1, GRID + 1):
+        c = i / GRID
+        a = rng.standard_normal((pairs, DIRECTIONS))
+        b = c * a + np.sqrt(1 - c * c) * rng.standard_normal((pairs, DIRECTIONS))
+        w = np.zeros((2, pairs, DIRECTIONS))
+        for side, z in enumerate((a, b)):
+            np.put_along_axis(w[side], np.argsort(-z, axis=1)[:, :ORDER], np.arange(ORDER, 0, -1.0)[None, :], 1)
+        out[i] = max(out[i - 1], np.quantile(np.minimum(*w).sum(axis=1), lost, method="lower") - 1, 0)
+    return out
 
 
 def pack5(x: np.ndarray) -> np.ndarray:
@@ -101,23 +170,39 @@ def turned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.ceil((2 * np.arcsin(np.minimum(chord / 2, 1)) + 1e-5) / ANGLE).astype(np.uint16)
 
 
-def compare_blocks(orders: np.ndarray, vectors: np.ndarray, split: int, near: float, least: float, keep: int, turn: np.ndarray | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
-    """Pairs (i, j) of one file, or of its first ``split`` members with the others, whose footrule distance is at most
-    ``near`` of the largest, and whose cosine may be at least ``least`` and among the ``keep`` largest of either; None if
-    more than ``most`` may reach ``least``.
+def in_common(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(orders, common part) of the members of a file: each is ``common * centre + rest``, and its order is that of the
+    directions nearest to the rest."""
+    centre = x.mean(axis=0, dtype=np.float64)
+    centre /= np.sqrt((centre * centre).sum()) or 1.0
+    centre = centre.astype(np.float32)
+    along, d = x @ centre, directions(x.shape[1])
+    s = x @ d - along[:, None] * (centre @ d)
+    near = np.argpartition(-s, ORDER - 1, axis=1)[:, :ORDER]
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1).astype(np.uint8), along
+
+
+def compare_blocks(vectors: np.ndarray, split: int, least: float, keep: int, turn: np.ndarray | None = None, most: int | None = None, tally: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs (i, j) of one file, or of its first ``split`` members with the others, that pass the footrule distance, and
+    whose cosine may be at least ``least`` and among the ``keep`` largest of either; None if more than ``most`` may reach
+    ``least``. ``tally`` counts the pairs compared and those that pass.
 
     ``turn`` bounds the angle by which each vector is off. The angle of a pair is then off by at most the sum of its
-    two, so no pair that belongs to the result is left out, however near the others are.
+    two, so rounding leaves out no pair that belongs to the result, however near the others are.
     """
-    k = orders.shape[1]
-    total = k * (k + 1) / 2
-    # footrule = 2 * (total - shared weight), so a bound on it is one on the shared weight
-    shared = total * (1 - near)
-    n = len(orders)
+    n = len(vectors)
     exact = turn is None
     turn = np.zeros(n) if exact else turn
     blur = 0.0 if exact else 2e-6  # of cosines in single precision
     floor = least if exact else np.cos(min(np.pi, np.arccos(least) + 2 * turn.max(initial=0))) - blur
+    orders, along = in_common(vectors)
+    # the cosine that the rests must have if the whole vectors are near enough, by steps of their common parts
+    steps = np.linspace(-1, 1, GRID * 2 + 1)
+    at, up = np.clip(((along + 1) * GRID).astype(np.int64), 0, 2 * GRID - 1), steps[1:]
+    low_up = np.array([steps[:-1], up])
+    near = least - SLACK - 1.5 * float(turn.max(initial=0)) ** 2  # orders are those of rounded vectors
+    corners = [(near - np.outer(p, q)) / np.sqrt(np.maximum(1e-9, np.outer(1 - p * p, 1 - q * q))) for p in low_up for q in low_up]
+    needed = least_weights()[(np.clip(np.minimum.reduce(corners), 0, 1) * GRID).astype(np.int64)]
     left, right = (np.arange(split), np.arange(split, n)) if split else (np.arange(n), np.arange(n))
     score = {i: [] for i in (0, 1, 2, 3)}
     step, listed = 512, 0
@@ -126,14 +211,21 @@ def compare_blocks(orders: np.ndarray, vectors: np.ndarray, split: int, near: fl
         cols = right if split else right[a:]
         for b in range(0, len(cols), 2048):
             j = cols[b : b + 2048]
-            u = _unary(np.concatenate([orders[i], orders[j]]), k)
-            ok = u[: len(i)] @ u[len(i) :].T >= max(shared, 1)
-            c = vectors[i] @ vectors[j].T
-            ok &= c >= floor
+            ok = shared_weights(orders[i], orders[j]) >= needed[at[i]].take(at[j], axis=1)
             if not split:
                 ok &= i[:, None] < j[None, :]
             x, y = np.nonzero(ok)
-            x, y, low = i[x], j[y], c[x, y]
+            if tally is not None:
+                tally["compared"] = tally.get("compared", 0) + (ok.size if split else int((i[:, None] < j[None, :]).sum()))
+                tally["passed"] = tally.get("passed", 0) + len(x)
+            if len(x) > 0.04 * ok.size:
+                low = (vectors[i] @ vectors[j].T)[x, y]
+                x, y = i[x], j[y]
+            else:
+                x, y = i[x], j[y]
+                low = np.concatenate([np.einsum("ij,ij->i", vectors[x[c : c + 4096]], vectors[y[c : c + 4096]]) for c in range(0, len(x), 4096)] or [np.zeros(0, np.float32)])
+            near = low >= floor
+            x, y, low = x[near], y[near], low[near]
             high = low
             if not exact:
                 off = turn[x] + turn[y]
@@ -184,7 +276,39 @@ def nearest_within(x: np.ndarray, split: int, least: float, k: int) -> tuple[np.
     return i[one], j[one], s[one]
 
 
-def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: int = DIM, posted: int = POSTED, order: int = ORDER, file: int = FILE) -> tuple[DataFrame, DataFrame]:
+def _unit(pivots: np.ndarray) -> np.ndarray:
+    x = pivots.astype(np.float32)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+
+
+def divisions(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, depth) of files of these sizes: as many blocks as BLOCK asks for, up to MOST_BLOCKS; files longer than
+    that are divided by one or two of the directions nearest to their members."""
+    depth = np.zeros(len(sizes), np.int64)
+    for parts in (DIRECTIONS, DIRECTIONS * (DIRECTIONS - 1) // 2):
+        long = (sizes > BLOCK * MOST_BLOCKS) & (depth < 2)
+        depth[long] += 1
+        sizes = np.where(long, sizes / np.where(depth == 2, (DIRECTIONS - 1) / 2, parts / SUBFILES), sizes)
+    return np.clip(np.ceil(sizes / BLOCK), 1, MOST_BLOCKS).astype(np.int64), depth
+
+
+def subfiles(x: np.ndarray, file: np.ndarray, pivots: np.ndarray, depth: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, part of their file): SUBFILES times, once for rows whose file isn't divided."""
+    d, part = depth[file], np.zeros((len(x), SUBFILES), np.int64)
+    far = np.flatnonzero(d)
+    if len(far):
+        p = pivots[file[far]]
+        rest = x[far] - (x[far] * p).sum(axis=1, keepdims=True) * p
+        near = np.argsort(-(rest @ directions(x.shape[1])), axis=1)[:, :SUBFILES].astype(np.int64)
+        two = np.array([(a, b) for b in range(1, 4) for a in range(b)])  # the pairs of the first four
+        pairs = np.sort(near[:, two], axis=2)
+        part[far] = np.where(d[far, None] == 2, (pairs[:, :, 0] + 1) * (DIRECTIONS + 1) + pairs[:, :, 1] + 1, near + 1)
+    yield np.arange(len(x)), part[:, 0]
+    for j in range(1, SUBFILES if len(far) else 1):
+        yield far, part[far, j]
+
+
+def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: int = DIM, posted: int = POSTED, file: int = FILE) -> tuple[DataFrame, DataFrame]:
     """(members (chunk_id, class), links (class, other, similarity)): for each class of equal usable vectors, similar
     classes with an exact cosine of at least ``least``, both ways, among which are its ``k`` nearest ones.
 
@@ -209,23 +333,25 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
             bad[rows] = False
             drawn = np.zeros(batch.num_rows, np.int64) - 1
             drawn[rows] = np.where(mix(cls.view(np.uint64) + np.uint64(17)) <= limit, np.arange(len(rows)), -1)
-            vecs = [None if d < 0 else x[d].tobytes() for d in drawn]
+            vecs = [None if d < 0 else np.rint(x[d] / np.abs(x[d]).max() * 127).astype(np.int8).tobytes() for d in drawn]
             yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), batch.column("embedded_at"), pa.array(of, mask=bad), pa.array(vecs, pa.binary())], ["chunk_id", "embedded_at", "class", "vec"])
 
     ts = v.schema["embedded_at"].dataType.simpleString()
     read = cut_lineage(v.mapInArrow(thin, f"chunk_id {v.schema['chunk_id'].dataType.simpleString()}, embedded_at {ts}, class long, vec binary"))
     members = cut_lineage(latest(read.drop("vec"), ["chunk_id"], "embedded_at", [F.col("class").asc_nulls_last()]).where("class IS NOT NULL").select("chunk_id", "class"))
-    # bounded: about 1.3 * MOST_PIVOTS vectors at most
+    # bounded: about 1.3 * MOST_PIVOTS vectors at most, of a byte a number
     drawn = read.where("vec IS NOT NULL").dropDuplicates(["class"]).orderBy(F.xxhash64("class")).limit(pivots_wanted).select("vec").toPandas()
-    pivots = np.stack([np.frombuffer(b, np.float32) for b in drawn["vec"]]) if len(drawn) else np.zeros((1, dim), np.float32)
-    k_order, m = min(order, len(pivots)), min(posted, len(pivots))
-    share = np.bincount(_pivot_orders(pivots, pivots, m).ravel(), minlength=len(pivots)) / max(len(pivots), 1)
-    blocks = np.maximum(1, np.ceil(share * total / BLOCK)).astype(np.int64)
+    pivots = np.stack([np.frombuffer(b, np.int8) for b in drawn["vec"]]) if len(drawn) else np.zeros((1, dim), np.int8)
+    searched = SEARCHED
+    m, whole = min(posted, len(pivots)), Pivots(_unit(pivots), searched)
+    share = np.bincount(whole.nearest(whole.pivots, m).ravel(), minlength=len(pivots)) / max(len(pivots), 1)
+    plan = divisions(share * total)
     live = _filter(members.select("class"))
-    shared = spark.sparkContext.broadcast((pivots, blocks, live))
+    shared = spark.sparkContext.broadcast((pivots, plan, live))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, blocks, live = shared.value
+        pivots, plan, live = shared.value
+        whole = Pivots(_unit(pivots), searched)
         seen: set[int] = set()  # equal vectors within a task; bounded by the task's own input
         for batch in batches:
             _, x = _usable(batch, dim)
@@ -233,34 +359,33 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
             known = _may_hold(live, cls)
             new = np.array([i for i, c in enumerate(cls.tolist()) if known[i] and c not in seen and not seen.add(c)], np.int64)
             x, cls = x[new], cls[new]
-            o = _pivot_orders(x, pivots, k_order)
+            o = whole.nearest(x, m)
             packed = pack5(x)
             turn = turned(x, unpack5(packed, dim)).reshape(-1, 1).view(np.uint8)
-            both = np.concatenate([o.astype(np.uint16).view(np.uint8), turn, packed], axis=1)
-            codes = pa.array([c.tobytes() for c in both], pa.binary())
+            codes = pa.array([c.tobytes() for c in np.concatenate([turn, packed], axis=1)], pa.binary())
             for j in range(m):
-                nb = blocks[o[:, j]]
-                own = (cls.view(np.uint64) % nb.astype(np.uint64)).astype(np.int64)
-                i = np.repeat(np.arange(len(x)), nb)  # block b meets block t of the same file in the task {b, t}
-                t = np.arange(len(i)) - np.repeat(np.concatenate([[0], np.cumsum(nb)[:-1]]), nb) if len(i) else i
-                lo, hi = np.minimum(own[i], t), np.maximum(own[i], t)
-                key = (o[i, j].astype(np.int64) << 40) | (lo << 20) | hi
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[i]), codes.take(pa.array(i))], ["file", "class", "code"])
+                for row, sub in subfiles(x, o[:, j], whole.pivots, plan[1]):
+                    nb = plan[0][o[row, j]]
+                    own = (cls[row].view(np.uint64) % nb.astype(np.uint64)).astype(np.int64)
+                    i = np.repeat(np.arange(len(row)), nb)  # block b meets block t of the same file in the task {b, t}
+                    t = np.arange(len(i)) - np.repeat(np.concatenate([[0], np.cumsum(nb)[:-1]]), nb) if len(i) else i
+                    lo, hi = np.minimum(own[i], t), np.maximum(own[i], t)
+                    key = (o[row, j][i].astype(np.int64) << 40) | (sub[i] << 16) | (lo << 8) | hi
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[row][i]), codes.take(pa.array(row[i]))], ["file", "class", "code"])
 
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         cls, file = table["class"].to_numpy(), key[0].as_py()
-        lo, split = (file >> 20) & 0xFFFFF, (file >> 20) & 0xFFFFF != file & 0xFFFFF
-        second = (cls.view(np.uint64) % np.uint64(shared.value[1][file >> 40])).astype(np.int64) != lo
+        lo, split = (file >> 8) & 0xFF, (file >> 8) & 0xFF != file & 0xFF
+        second = (cls.view(np.uint64) % np.uint64(shared.value[1][0][file >> 40])).astype(np.int64) != lo
         _, one = np.unique(cls, return_index=True)  # the same class from several tasks
         one = one[np.argsort(second[one], kind="stable")] if split else one
         cls, cut = cls[one], int((~second[one]).sum()) if split else 0
-        code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(-1, 2 * k_order + 2 - (-dim // 3) * 2)[one]
-        head, vec = np.ascontiguousarray(code[:, : 2 * k_order + 2]).view(np.uint16), unpack5(code[:, 2 * k_order + 2 :], dim)
-        perm, turn = head[:, :k_order], head[:, k_order] * ANGLE
+        code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(-1, 2 - (-dim // 3) * 2)[one]
+        turn, vec = np.ascontiguousarray(code[:, :2]).view(np.uint16)[:, 0] * ANGLE, unpack5(code[:, 2:], dim)
         if split and cut in (0, len(cls)):
             x = y = np.zeros(0, np.int64)
         else:
-            got = compare_blocks(perm, vec, cut, FOOTRULE, least, k, turn, LISTED * len(cls))
+            got = compare_blocks(vec, cut, least, k, turn, LISTED * len(cls))
             x, y = (np.arange(len(cls)),) * 2 if got is None else got  # a member with itself: all are compared when reranked
         return pa.table({"file": pa.array(np.full(len(x), key[0].as_py(), np.int64)), "class_1": pa.array(np.minimum(cls[x], cls[y])), "class_2": pa.array(np.maximum(cls[x], cls[y]))})
 
@@ -295,9 +420,9 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
         s = np.concatenate([(x[i[a : a + 4096]].astype(np.float64) * x[j[a : a + 4096]]).sum(axis=1) for a in range(0, len(i), 4096)] or [np.zeros(0)])
         if len(own):  # the file as a whole
             file = key[0].as_py()
-            lo, split = (file >> 20) & 0xFFFFF, (file >> 20) & 0xFFFFF != file & 0xFFFFF
+            lo, split = (file >> 8) & 0xFF, (file >> 8) & 0xFF != file & 0xFF
             own = np.sort(own)
-            second = (own.view(np.uint64) % np.uint64(shared.value[1][file >> 40])).astype(np.int64) != lo
+            second = (own.view(np.uint64) % np.uint64(shared.value[1][0][file >> 40])).astype(np.int64) != lo
             own = own[np.argsort(second, kind="stable")] if split else own
             a, b, t = nearest_within(x[np.searchsorted(cls[o], own)].astype(np.float64), int((~second).sum()) if split else 0, least - 1e-6, k)
             one, two = np.concatenate([one, np.minimum(own[a], own[b])]), np.concatenate([two, np.maximum(own[a], own[b])])
