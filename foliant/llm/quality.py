@@ -1,9 +1,12 @@
 """Problem 2: statistics of each text, and from them the texts that are mostly lists, tables or junk.
 
-Method: every statistic gets its exact rank within the texts of one language. Different values are counted first, so
-that a value shared by a third of all rows is one row, then sorted over range partitions; a partition's ranks start
-at the totals of the partitions before it. The tail probabilities that follow from the ranks are combined over the
-statistics into an outlier score, which ranks the texts and excludes none. What most of a text is, line by line, decides.
+Method: the statistics that decide are those of running language: the share of function words (without those that stand in
+lists), of lines that end like sentences, and the words a line. Each gets its exact rank among the reference texts of its language, those with as many
+function words as prose has; texts whose language can't be told are ranked among the reference of all languages.
+Different texts count once, however often they are copied. Ranks come from range partitions, whose running totals start
+at those of the partitions before; what of the reference lies as far out is a value's tail probability, and the sum of
+their negative logarithms a text's outlier score. The score decides whether a text is prose; what its lines look like
+only names the kind of the others.
 """
 
 from __future__ import annotations
@@ -103,8 +106,13 @@ def _clean(s: str) -> bool:
 
 
 #: statistic -> the tail that speaks against prose: 1 for large values, -1 for small ones
-STATISTICS = {"list_share": 1, "table_share": 1, "junk_share": 1, "common_word_share": -1, "ended_line_share": -1, "special_char_ratio": 1}
-FIELDS = ["word_count", "line_count", "mean_word_length", "special_char_ratio", "empty_line_ratio", "words_per_line", "words_per_page", "ended_line_share", "common_word_share", "digit_ratio", "list_share", "table_share", "junk_share", "prose_share"]
+STATISTICS = {"telling_word_share": -1, "ended_line_share": -1, "words_per_line": -1}
+REFERENCE = 0.12  # least share of function words, but those that stand in lists, of the reference texts
+OUTLIER = 8.5  # score from which a text is no prose,
+ATTAINED = 0.8  # or this share of the largest score that a small reference allows
+NAMED = 0.2  # least share of lines of some kind other than prose, so that there is a kind to name
+HEAVY = 1000  # a value that more than one in so many rows has is joined by broadcast; of each statistic these are fewer
+FIELDS = ["word_count", "line_count", "mean_word_length", "special_char_ratio", "empty_line_ratio", "words_per_line", "words_per_page", "ended_line_share", "common_word_share", "telling_word_share", "digit_ratio", "list_share", "table_share", "junk_share", "prose_share"]
 
 
 def _measure(text: str) -> list:
@@ -140,7 +148,7 @@ def _measure(text: str) -> list:
     digits = sum(map(len, _DIGITS.findall(text)))
     return [
         lang if share >= 0.1 else None, n, len(lines), kept / (n or 1), max(0, kept - alnum) / (chars or 1), 1 - len(solid) / len(lines), n / (len(solid) or 1),
-        float(n) / max(1, n // WORDS_A_PAGE), ended / (len(solid) or 1), share, digits / (chars or 1), size["list"] / total, size["table"] / total, size["junk"] / total, size["prose"] / total,
+        float(n) / max(1, n // WORDS_A_PAGE), ended / (len(solid) or 1), share, sum(map((_COMMON[lang] & _TELLING).__contains__, low)) / (n or 1), digits / (chars or 1), size["list"] / total, size["table"] / total, size["junk"] / total, size["prose"] / total,
     ]
 
 
@@ -160,67 +168,75 @@ def text_statistics(documents: DataFrame) -> DataFrame:
 
 
 def tail_probabilities(stats: DataFrame, statistics: dict[str, int] = STATISTICS) -> DataFrame:
-    """(language, statistic, value, tail): the share of rows of the language whose value is at least (or at most) as far
-    out, for every different value."""
+    """(language, statistic, value, tail, size, n) for every different value: the share of the ``size`` reference texts of
+    the language, and the text itself, whose value is at least (or at most) as far out; n rows have it."""
+    language = F.coalesce("language", F.lit("")).alias("language")
+    core = (F.col("language") != "") & (F.col("telling_word_share") >= REFERENCE)
+    fields = list(dict.fromkeys(["telling_word_share", *statistics]))
+    texts = stats.select(language, *fields).groupBy("language", *fields).agg(F.count("*").alias("rows"))
     cells = F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.lit(d).alias("side"), (F.col(s) * d).alias("key")) for s, d in statistics.items()])).alias("c")
-    counts = stats.select(F.coalesce("language", F.lit("")).alias("language"), cells).groupBy("language", "c.statistic", "c.side", "c.key").agg(F.count("*").alias("n"))
-    # texts without a language are held against all texts
-    counts = counts.where("language <> ''").unionByName(counts.groupBy(F.lit("").alias("language"), "statistic", "side", "key").agg(F.sum("n").alias("n")))
+    counts = texts.select("language", core.cast("long").alias("core"), "rows", cells).groupBy("language", "c.statistic", "c.side", "c.key").agg(F.sum("core").alias("core"), F.sum("rows").alias("n"))
+    # texts without a language, or of one without reference, are held against the reference of all
+    some = counts.groupBy("language").agg(F.sum("core").alias("core")).where("core > 0").select("language")
+    every = counts.groupBy(F.lit("").alias("language"), "statistic", "side", "key").agg(F.sum("core").alias("core"), F.sum("n").alias("n"))
+    counts = counts.join(F.broadcast(some), "language", "left_semi").select("language", "statistic", "side", "key", "core", "n").unionByName(every)
     # far values first, so that the running total is the tail; equal keys are one row
     parts = cut_lineage(counts.repartitionByRange("language", "statistic", F.desc("key")).sortWithinPartitions("language", "statistic", F.desc("key")).withColumn("part", F.spark_partition_id()))
     # partitions times languages times statistics: small whatever the number of rows
-    totals = parts.groupBy("part", "language", "statistic").agg(F.sum("n").alias("n")).toPandas()
+    totals = parts.groupBy("part", "language", "statistic").agg(F.sum("core").alias("core")).toPandas()
     totals = totals.sort_values("part", kind="stable")
-    totals["before"] = totals.groupby(["language", "statistic"])["n"].cumsum() - totals["n"]
+    totals["before"] = totals.groupby(["language", "statistic"])["core"].cumsum() - totals["core"]
     before = {(p, lang, s): b for p, lang, s, b in totals[["part", "language", "statistic", "before"]].itertuples(index=False)}
-    size = totals.groupby(["language", "statistic"])["n"].sum().to_dict()
+    size = totals.groupby(["language", "statistic"])["core"].sum().to_dict()
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, str], int] = {}
         for pdf in batches:
             tail = np.empty(len(pdf))
             for (part, lang, s), at in pdf.groupby(["part", "language", "statistic"], sort=False).indices.items():
-                running = np.cumsum(pdf["n"].to_numpy()[at]) + seen.get((part, lang, s), before[part, lang, s])
+                running = np.cumsum(pdf["core"].to_numpy()[at]) + seen.get((part, lang, s), before[part, lang, s])
                 seen[part, lang, s] = int(running[-1])
-                tail[at] = running / size[lang, s]
-            yield pd.DataFrame({"language": pdf["language"], "statistic": pdf["statistic"], "value": pdf["key"] * pdf["side"], "tail": tail})
+                tail[at] = (running + 1) / (size[lang, s] + 1)
+            yield pd.DataFrame({"language": pdf["language"], "statistic": pdf["statistic"], "value": pdf["key"] * pdf["side"], "tail": tail, "size": [size[k] for k in zip(pdf["language"], pdf["statistic"], strict=True)], "n": pdf["n"]})
 
-    return parts.mapInPandas(rank, "language string, statistic string, value double, tail double")
+    return parts.mapInPandas(rank, "language string, statistic string, value double, tail double, size long, n long")
 
 
 def outlier_scores(stats: DataFrame, statistics: dict[str, int] = STATISTICS) -> DataFrame:
-    """``stats`` with ``outlier_score``: the sum over the statistics of -ln of the tail probability of the row's value
-    among the texts of its language, or among all texts where it has none."""
-    tails = tail_probabilities(stats, statistics)
-    key = F.monotonically_increasing_id()
-    rows = cut_lineage(stats.withColumn("__row", key))
+    """``stats`` with ``outlier_score``, the sum over the statistics of -ln of the tail probability of the row's value, and
+    ``attainable``, the largest such sum that the reference allows."""
+    tails = cut_lineage(tail_probabilities(stats, statistics))
+    rows = cut_lineage(stats.withColumn("__row", F.monotonically_increasing_id()))
+    told = [r.language for r in tails.select("language").distinct().collect()]  # languages that have a reference
+    language = F.when(F.col("language").isin(told), F.col("language")).otherwise("")
     cells = F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in statistics])).alias("c")
-    scores = rows.select("__row", F.coalesce("language", F.lit("")).alias("language"), cells).select("__row", "language", "c.*").join(tails, ["language", "statistic", "value"])
-    scores = scores.groupBy("__row").agg(F.sum(-F.log("tail")).alias("outlier_score"))
+    cells = rows.select("__row", language.alias("language"), cells).select("__row", "language", "c.*")
+    on, most = ["language", "statistic", "value"], rows.count() / HEAVY
+    heavy = F.broadcast(tails.where(F.col("n") > most).select(*on, "tail", "size"))  # fewer than 2 * HEAVY rows a statistic
+    light = tails.where(F.col("n") <= most).select(*on, "tail", "size")
+    scored = cells.join(heavy, on).unionByName(cells.join(heavy, on, "left_anti").join(light, on))
+    scores = scored.groupBy("__row").agg(F.sum(-F.log("tail")).alias("outlier_score"), F.sum(F.log1p("size")).alias("attainable"))
     return rows.join(scores, "__row").drop("__row")
 
 
-def mostly(stats: DataFrame) -> DataFrame:
-    """The rows of ``stats`` most of whose text is list entries, table rows or junk, with ``kind``.
+def kinds(stats: DataFrame) -> DataFrame:
+    """(doc_id, kind, outlier_score) of the rows of ``stats`` that are no prose.
 
-    Lines count by their length; headings and code fences count for nothing. Of equal shares, junk comes before table
-    before list. Rows are judged one by one, so repeated doc_ids give repeated rows, and no row is judged by how many
-    are like it. Empty texts are no case.
+    Lines name the kind by their length; headings and code fences count for nothing. Of equal shares, junk comes before
+    table before list. Rows are judged one by one, so repeated doc_ids give repeated rows. Empty texts are no case. Where
+    there is no reference at all, most of a text's lines decide.
     """
     other = F.col("list_share") + F.col("table_share") + F.col("junk_share")
     top = F.greatest("list_share", "table_share", "junk_share")
     kind = F.when(F.col("junk_share") == top, "junk").when(F.col("table_share") == top, "table").otherwise("list")
-    return stats.where(other > 0.5).withColumn("kind", kind)
-
-
-def kinds(stats: DataFrame) -> DataFrame:
-    """(doc_id, kind, outlier_score) of the rows of ``mostly``; the score, for ranking, is the one among all of ``stats``."""
-    return mostly(outlier_scores(stats)).select("doc_id", "kind", "outlier_score")
+    far = (F.col("attainable") > 0) & (F.col("outlier_score") >= F.least(F.lit(OUTLIER), ATTAINED * F.col("attainable"))) & (other > NAMED)
+    alone = (F.col("attainable") == 0) & (other > 0.5)
+    return outlier_scores(stats).where(far | alone).select("doc_id", kind.alias("kind"), "outlier_score")
 
 
 def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outlier_scores(cut_lineage(text_statistics(read_table(spark, sf_dir, "documents"))))
+    return outlier_scores(cut_lineage(text_statistics(read_table(spark, sf_dir, "documents")))).drop("attainable")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mostly(text_statistics(read_table(spark, sf_dir, "documents"))).select("doc_id", "kind")
+    return kinds(cut_lineage(text_statistics(read_table(spark, sf_dir, "documents")))).select("doc_id", "kind")

@@ -58,13 +58,27 @@ def test_empty_table(spark):
 
 def test_tails_are_exact(spark):
     rng = np.random.default_rng(0)
-    rows = [(str(lang), float(v)) for lang, v in zip(rng.choice(["en", "de"], 500), rng.integers(0, 40, 500) / 8, strict=True)] + [(None, 1.0)]
-    df = spark.createDataFrame(rows, "language string, list_share double").repartition(7)
-    got = {(r.language, r.value): r.tail for r in q.tail_probabilities(df, {"list_share": 1}).collect()}
-    for lang in ("en", "de", ""):
-        x = np.array([v for k, v in rows if k == lang or lang == ""])
-        for v in np.unique(x):
-            assert got[lang, v] == pytest.approx((x >= v).mean())
-    low = {(r.language, r.value): r.tail for r in q.tail_probabilities(df, {"list_share": -1}).collect()}
-    x = np.array([v for k, v in rows if k == "en"])
-    assert all(low["en", v] == pytest.approx((x <= v).mean()) for v in np.unique(x))
+    rows = [(str(lang), float(v), float(c)) for lang, v, c in zip(rng.choice(["en", "de"], 500), rng.integers(0, 40, 500) / 8, rng.integers(0, 4, 500) / 8, strict=True)] + [(None, 1.0, 0.5), ("fr", 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "language string, list_share double, telling_word_share double").repartition(7)
+    texts = {r for r in rows if r[0] and r[2] >= q.REFERENCE}  # different ones, with enough function words
+    for side in (1, -1):
+        got = {(r.language, r.value): (r.tail, r.size, r.n) for r in q.tail_probabilities(df, {"list_share": side}).collect()}
+        assert {k for k, _ in got} == {"en", "de", ""}  # fr has no reference
+        for lang in ("en", "de", ""):
+            x = np.array(sorted(v for k, v, _ in texts if k == lang or lang == ""))
+            for v in {v for k, v, _ in rows if k == lang or lang == ""}:
+                far = (x >= v).sum() if side == 1 else (x <= v).sum()
+                assert got[lang, v] == (pytest.approx((far + 1) / (len(x) + 1)), len(x), sum(r[1] == v and (r[0] == lang or lang == "") for r in rows))
+
+
+def test_the_score_decides(spark):
+    """Without it, prose with a small list would be a case; with it, the share of lines only names the kind."""
+    mixed = (PROSE + " ") * 3 + "\n\n" + LIST
+    stats = q.text_statistics(frame(spark, [PROSE + f" It has {i} doors." for i in range(60)] + [mixed, LIST]))
+    row = stats.where("doc_id = 60").collect()[0]
+    assert row.list_share + row.table_share + row.junk_share > q.NAMED
+    assert [r.doc_id for r in q.kinds(stats).collect()] == [61]
+
+
+def test_no_reference(spark):
+    assert {r.doc_id for r in q.kinds(q.text_statistics(frame(spark, [LIST, TABLE, "", None]))).collect()} == {0, 1}
