@@ -1,13 +1,15 @@
 """Problem 1: chunks of different books that are the same passage with small edits.
 
-Method: a prefix-tree join. Each text is its set of word runs, sorted by one global order (rare words first).
-Two sets can only be similar enough if the heads of their sorted lists share enough members, so only the heads are
-posted and joined; pairs whose shared head leaves too little room for the rest are dropped. The pairs left are
-verified in a prefix tree: lists that begin alike share the overlap counted so far, and a subtree is left as soon as
-the overlap plus what remains of both lists can't reach what the threshold needs.
+Method: a prefix-tree join. Each text is its set of word runs in one global order. A tree of whole sets can't be spread
+over tasks without sending every set to dozens of them, so the sets that may meet are found first: two sets can only be
+similar enough if the rare ends of their lists share enough members, so only these are posted and joined, and pairs whose
+shared members leave too little room for the rest are dropped. The sets that a set may meet are then sent to it once and
+stand in a prefix tree, common members first, so that variants of a passage share long paths. The set's list is carried
+down the tree: the overlap so far is counted once a node, and a subtree is left as soon as the overlap plus what remains
+of both lists can't reach what the threshold needs. All pairs of the result come out of that walk.
 
 Equal sets are one class; everything up to the result works on classes, whatever the number of copies. No text is
-shuffled, only sets of 5-byte members, once.
+shuffled, only sets of 5-byte members, once. Members that very many sets post are split over several tasks.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ COUNTER_BITS = 22  # 2^22 counters order the word runs by rarity; 4 MB are broad
 SLICES, FAN = 64, 64
 SHARED = 3  # members that the heads of two similar sets must share; each takes heads longer by one
 EXPANDED = 32  # copies up to which a class is spelled out in pairs; more copies are linked to two members of their class
+CELLS = 1 << 21  # members of one part of a tree; 16 MB
+LONG = 1 << 15  # members from which a list is no branch of a tree but is compared on its own
+CROWD, PARTS = 1 << 14, 256  # occurrences of a member for which a further task is taken, and most such tasks
 HUGE = (1 << 24) - 1  # set sizes from here on are not told apart in postings
 FILTER_BITS = 1 << 25  # of the fixed-size filter over sets in hopeful pairs (4 MB)
 _M40, _M32 = np.uint64((1 << 40) - 1), np.uint64((1 << 32) - 1)
@@ -109,29 +114,57 @@ def head_size(n, t: Fraction):
     return np.minimum(n, n - -(-(t.numerator * n) // t.denominator) + SHARED)
 
 
-def tree_overlaps(query: list[bytes], other: list[bytes], t: Fraction) -> np.ndarray:
+def _common_first(blobs: list[bytes]) -> list[np.ndarray]:
+    """The lists the other way round, as ascending numbers."""
+    x, at = unpack40(blobs)
+    x = _M40 - x
+    return [x[at[i] : at[i + 1]][::-1] for i in range(len(blobs))]
+
+
+def tree_overlaps(query: list[bytes], other: list[bytes], t: Fraction, tally: dict[str, int] | None = None) -> np.ndarray:
     """Overlap of query[i] and other[i] if it reaches the threshold, else 0.
 
-    The lists of all pairs stand in one prefix tree whose first branch is the query: pairs are sorted by query and
-    list, so the lists below a node are neighbours, and the node's overlap is counted once, at the first of them.
+    The lists that one query may meet stand in a prefix tree: sorted, so that the lists below a node are neighbours. The
+    trees are walked level by level, in parts of at most CELLS members. ``tally`` counts the nodes visited and the members
+    of the lists that stood for.
     """
-    order = sorted(range(len(query)), key=lambda i: (query[i], other[i]))
-    q, o = [query[i] for i in order], [other[i] for i in order]
-    group = np.cumsum([i == 0 or q[i] != q[i - 1] for i in range(len(q))]) - 1
-    heads = [q[i] for i in np.flatnonzero(np.diff(group, prepend=-1))]
-    x, xat = unpack40(heads)
-    xkeys = (np.repeat(np.arange(len(heads), dtype=np.uint64), np.diff(xat)) << np.uint64(40)) | x
-    nx = np.diff(xat)[group]
-    y, yat = unpack40(o)
-    ny = np.diff(yat)
+    out = np.zeros(len(query), np.int64)
+    number = {q: i for i, q in enumerate(dict.fromkeys(query))}
+    q_of = np.array([number[q] for q in query], np.int64)
+    heads, lists = _common_first(list(number)), _common_first(other)
+    nx, ny = np.array([len(h) for h in heads], np.int64)[q_of], np.array([len(y) for y in lists], np.int64)
+    need = needed(nx, ny, t)
+    possible = need <= np.minimum(nx, ny)
+    for i in np.flatnonzero(possible & (np.maximum(nx, ny) > LONG)):
+        n = len(np.intersect1d(heads[q_of[i]], lists[i], assume_unique=True))
+        out[i] = n if n >= need[i] else 0
+    keys = [y.astype(">u8").tobytes() for y in lists]
+    rows = sorted(np.flatnonzero(possible & (np.maximum(nx, ny) <= LONG)).tolist(), key=lambda i: (q_of[i], keys[i]))
+    a = 0
+    while a < len(rows):
+        b, width = a, 0
+        while b < len(rows) and (b == a or max(width, ny[rows[b]]) * (b - a + 1) <= CELLS):
+            width, b = max(width, int(ny[rows[b]])), b + 1
+        part = np.array(rows[a:b])
+        out[part] = _walk(heads, q_of[part], [lists[i] for i in part], need[part], tally)
+        a = b
+    return out
+
+
+def _walk(heads: list[np.ndarray], group: np.ndarray, lists: list[np.ndarray], need: np.ndarray, tally: dict[str, int] | None) -> np.ndarray:
+    """Overlaps of sorted lists with the head of their group, as far as they reach ``need``; else 0."""
+    own, group = np.unique(group, return_inverse=True)
+    x = np.concatenate([heads[g] for g in own])
+    xat = np.concatenate([[0], np.cumsum([len(heads[g]) for g in own])])
+    xkeys = (np.repeat(np.arange(len(own), dtype=np.uint64), np.diff(xat)) << np.uint64(40)) | x
+    nx, ny = np.diff(xat)[group], np.array([len(y) for y in lists])
     width = int(ny.max(initial=0))
-    tree = np.zeros((len(o), width + 1), np.uint64)
-    tree[np.repeat(np.arange(len(o)), ny), np.arange(len(y)) - np.repeat(yat[:-1], ny)] = y + np.uint64(1)  # 0: no more members
-    same = np.zeros((len(o), width), bool)  # the row goes through the same node as the row before
+    tree = np.zeros((len(lists), width + 1), np.uint64)
+    tree[np.repeat(np.arange(len(lists)), ny), np.arange(ny.sum()) - np.repeat(np.cumsum(ny) - ny, ny)] = np.concatenate(lists) + np.uint64(1)  # 0: no more members
+    same = np.zeros((len(lists), width), bool)  # the row goes through the same node as the row before
     same[1:] = np.logical_and.accumulate((tree[1:, :width] == tree[:-1, :width]) & (group[1:] == group[:-1])[:, None], axis=1)
-    need = needed(nx, ny, t)
-    overlap, alive = np.zeros(len(o), np.int64), np.ones(len(o), bool)
-    passed = np.zeros(len(o), np.int64)  # members of the query that the path has gone beyond
+    overlap, alive = np.zeros(len(lists), np.int64), np.ones(len(lists), bool)
+    passed = np.zeros(len(lists), np.int64)  # members of the query that the path has gone beyond
     for d in range(width):
         alive &= ny > d
         rows = np.flatnonzero(alive)
@@ -148,11 +181,11 @@ def tree_overlaps(query: list[bytes], other: list[bytes], t: Fraction) -> np.nda
         overlap[rows] += hit[owner]
         passed[rows] = (at - xat[group[rows[new]]] + hit)[owner]
         bound = overlap[rows] + np.minimum(nx[rows] - passed[rows], ny[rows] - d - 1)
-        alive[rows[bound < need[rows]]] = False
-        overlap[rows[bound < need[rows]]] = -(1 << 40)
-    out = np.zeros(len(order), np.int64)
-    out[order] = np.where(overlap >= need, overlap, 0)
-    return out
+        gone = rows[bound < need[rows]]
+        alive[gone], overlap[gone] = False, -(1 << 40)
+        if tally is not None:
+            tally["nodes"], tally["members"] = tally.get("nodes", 0) + len(key), tally.get("members", 0) + len(rows)
+    return np.where(overlap >= need, overlap, 0)
 
 
 def _sets(batch: pa.RecordBatch, ranks: np.ndarray, run: int, min_words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -177,6 +210,25 @@ def text_classes(texts: DataFrame, ranks: Broadcast, run: int = RUN, min_words:
     return texts.mapInArrow(go, f"{kept}, class long")
 
 
+def _spread(token: np.ndarray, rarity: np.ndarray, packed: np.ndarray, owner: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, owner, position, side) of postings: side 0, but for members that are so frequent (``rarity`` is 8 times the
+    logarithm of their number) that their postings are spread over parts: there once on side 1, in one part by the set,
+    and once in every part on side 2."""
+    parts = np.minimum(PARTS, np.exp2(rarity / 8.0) / CROWD).astype(np.int64)
+    many = np.flatnonzero(parts > 1)
+    side = np.zeros(len(token), np.int64)
+    if not len(many):
+        return token, owner, pos, side
+    p, few = parts[many], parts <= 1
+    salted = lambda i, part: mix((token[i].astype(np.uint64) << np.uint64(9)) + part.astype(np.uint64) + np.uint64(1)).astype(np.uint32)
+    i = np.repeat(many, p)
+    every = np.arange(len(i)) - np.repeat(np.cumsum(p) - p, p)
+    first = salted(many, mix(packed[owner[many]].view(np.uint64)) % p.astype(np.uint64))
+    at = np.concatenate([np.flatnonzero(few), many, i])
+    side = np.repeat([0, 1, 2], [int(few.sum()), len(many), len(i)])
+    return np.concatenate([token[few], first, salted(i, every)]), owner[at], pos[at], side
+
+
 def similar_classes(texts: DataFrame, ranks: Broadcast, threshold: Fraction = THRESHOLD, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """(class_1, class_2, overlap, similarity), class_1 < class_2, of different similar sets among rows (text)."""
     t = Fraction(threshold)
@@ -193,18 +245,20 @@ def similar_classes(texts: DataFrame, ranks: Broadcast, threshold: Fraction = TH
                 h = np.where(new, head_size(n, t), 0)
                 i = np.repeat(np.arange(len(n)), h)
                 pos = np.arange(h.sum()) - np.repeat(np.concatenate([[0], np.cumsum(h)[:-1]]), h)
-                token = (keys[pos + np.repeat(at[:-1], h)] & _M32).astype(np.uint32).view(np.int32)
+                member = keys[pos + np.repeat(at[:-1], h)]
                 packed = ((cls.view(np.uint64) << np.uint64(24)) | np.minimum(n, HUGE).astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(packed[i]), pa.array(pos.astype(np.int32))], ["token", "set", "pos"])
+                token, i, pos, side = _spread((member & _M32).astype(np.uint32), (member >> np.uint64(32)).astype(np.int64), packed, i, pos)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int32)), pa.array(packed[i]), pa.array((pos * 3 + side).astype(np.int32))], ["token", "set", "at"])
 
-    posts = texts.select("text").mapInArrow(post, "token int, set long, pos int").repartition("token").dropDuplicates(["token", "set"])
-    a, b = (posts.select("token", F.col("set").alias(f"set_{i}"), F.col("pos").alias(f"pos_{i}")) for i in (1, 2))
+    posts = texts.select("text").mapInArrow(post, "token int, set long, at int").repartition("token").dropDuplicates(["token", "set", "at"])
+    a, b = (posts.select("token", F.col("set").alias(f"set_{i}"), F.floor(F.col("at") / 3).cast("int").alias(f"pos_{i}"), (F.col("at") % 3).alias(f"side_{i}")) for i in (1, 2))
+    sides = (F.col("side_1") * 3 + F.col("side_2")).isin(0, 5)  # both of a member in one task, or first side with second
     n1, n2 = (F.col(f"set_{i}").bitwiseAND(HUGE) for i in (1, 2))
     huge = F.greatest(n1, n2) == HUGE  # the size isn't known exactly: no bound holds
     least = F.ceil((n1 + n2) * p / (p + q) - 1e-9)
     # with `least` members in common, the SHARED-th of them leaves room for the others behind it
     room = (F.least(n1, n2) * q >= F.greatest(n1, n2) * p) & (F.col("pos_1") < n1 - least + SHARED) & (F.col("pos_2") < n2 - least + SHARED)
-    shared = a.join(b, "token").where((F.col("set_1") < F.col("set_2")) & (huge | room)).groupBy("set_1", "set_2").agg(F.count("*").alias("m"))
+    shared = a.join(b, "token").where(sides & (F.col("set_1") < F.col("set_2")) & (huge | room)).groupBy("set_1", "set_2").agg(F.count("*").alias("m"))
     hopeful = shared.where(huge | (F.col("m") >= F.least(F.lit(SHARED), least)))
     short = lambda c: F.shiftrightunsigned(F.col(c), 24)
     hopeful = cut_lineage(hopeful.select(short("set_1").alias("short_1"), short("set_2").alias("short_2")))
@@ -236,7 +290,7 @@ def similar_classes(texts: DataFrame, ranks: Broadcast, threshold: Fraction = TH
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 one, two = part.column("members_1").to_pylist(), part.column("members_2").to_pylist()
-                got = tree_overlaps(one, two, t)
+                got = tree_overlaps(two, one, t)  # rows come sorted by the second set: what it may meet stands together
                 at = np.flatnonzero(got)
                 union = np.array([(len(one[i]) + len(two[i])) // 5 for i in at], np.int64) - got[at]
                 yield pa.RecordBatch.from_arrays([part.column("class_1").take(pa.array(at)), part.column("class_2").take(pa.array(at)), pa.array(got[at]), pa.array(got[at] / np.maximum(union, 1))], ["class_1", "class_2", "overlap", "similarity"])

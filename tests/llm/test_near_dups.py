@@ -104,3 +104,38 @@ def test_tree_overlaps_match_sets():
         for j in range(40):
             a, b = set(lists[i].tolist()), set(lists[j].tolist())
             assert got[i, j] == (len(a & b) if 5 * len(a & b) >= 3 * len(a | b) else 0)
+
+
+def test_variants_share_paths_of_the_tree():
+    """Twenty variants of a passage: most members of their lists are counted once for many of them."""
+    rng = np.random.default_rng(3)
+    base = np.sort(rng.choice(1 << 20, 200, replace=False)).astype(np.uint64) + np.uint64(1 << 39)  # common members
+    lists = [nd.pack40(np.sort(np.concatenate([base[rng.permutation(200) > 0], rng.choice(1 << 20, 10, replace=False).astype(np.uint64)]))) for _ in range(20)]
+    tally = {}
+    got = nd.tree_overlaps([lists[0]] * 19, lists[1:], Fraction(3, 5), tally)
+    assert (got > 150).all() and tally["nodes"] < 0.75 * tally["members"]
+
+
+def test_trees_in_parts_and_long_lists(monkeypatch):
+    rng = np.random.default_rng(5)
+    lists = [nd.pack40(np.unique(rng.integers(0, 90, 60)).astype(np.uint64)) for _ in range(30)]
+    q, o = [x for x in lists for _ in lists], lists * 30
+    want = nd.tree_overlaps(q, o, Fraction(3, 5)).tolist()
+    monkeypatch.setattr(nd, "CELLS", 100)
+    assert nd.tree_overlaps(q, o, Fraction(3, 5)).tolist() == want and sum(map(bool, want)) > 30
+    monkeypatch.setattr(nd, "LONG", 40)
+    assert nd.tree_overlaps(q, o, Fraction(3, 5)).tolist() == want
+    assert nd.tree_overlaps([], [], Fraction(3, 5)).tolist() == []
+
+
+def test_frequent_members_are_spread():
+    """Every two sets that post a member meet once, whatever its frequency."""
+    n = 40
+    packed = np.arange(n, dtype=np.int64) * 12345 + 7
+    owner = np.arange(n)
+    for rarity in (0, 8 * 14, 8 * 17, 255):
+        token, own, pos, side = nd._spread(np.full(n, 99, np.uint32), np.full(n, rarity), packed, owner, owner * 2)
+        rows = list(zip(token.tolist(), own.tolist(), side.tolist(), strict=True))
+        met = [(a, b) for t, a, s in rows for u, b, r in rows if t == u and a < b and s * 3 + r in (0, 5)]
+        assert sorted(met) == list(combinations(range(n), 2)) and (pos == own * 2).all()
+        assert len(set(token.tolist())) == (1 if rarity < 8 * 15 else nd.PARTS if rarity == 255 else 8)
