@@ -118,7 +118,7 @@ def test_variants_share_paths_of_the_tree():
 
 def test_trees_in_parts_and_long_lists(monkeypatch):
     rng = np.random.default_rng(5)
-    lists = [nd.pack40(np.unique(rng.integers(0, 90, 60)).astype(np.uint64)) for _ in range(30)]
+    lists = [nd.pack40(np.unique(rng.integers(0, 70, 100)).astype(np.uint64)) for _ in range(30)]
     q, o = [x for x in lists for _ in lists], lists * 30
     want = nd.tree_overlaps(q, o, Fraction(3, 5)).tolist()
     monkeypatch.setattr(nd, "CELLS", 100)
