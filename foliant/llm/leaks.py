@@ -20,7 +20,7 @@ from foliant.common import cut_lineage, read_table
 from foliant.llm.hashing import run_hashes, texts_of, word_hashes
 
 MIN_WORDS, SHINGLE = 12, 5
-BLOCK_WINDOWS = 1 << 20  # item windows sent to every task at once (about 40 MB); more items go in several blocks
+BLOCK_WINDOWS = 1 << 17  # item windows in one broadcast; the driver holds at most 8 counters for each
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch], k: int, n: int) -> Iterator[pa.RecordBatch]:
@@ -92,8 +92,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = MIN_WO
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
 
         freq = np.zeros(len(sought.value), np.int64)
-        for at, n in docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
-            freq[at] = n
+        seen_at = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        freq[seen_at["at"].to_numpy(np.int64)] = seen_at["n"].to_numpy(np.int64)
         # rarity order: count over the corpus, ties by the shingle itself; shingles that never occur rule the window out
         rank = np.searchsorted(sought.value, sets)
         seen = freq[rank]

@@ -11,6 +11,7 @@ windows that a block leaves under-filled are broken up and packed together in a
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,55 +28,66 @@ CAPACITY, MAX_SEGMENTS = 8192, 64
 BLOCK = 6_000  # texts packed by one task at once
 FILLED = 0.97  # windows below this share of the capacity are packed again
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+_TURN = re.compile(r"\n[QA]:")
 #: Pre-splitting pattern of the public byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @cache
-def _encoding(path: str):
+def _encoding_of(table: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, table.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _count(enc, text: str, step: int = 1 << 20) -> int:
-    """Tokens of a text; very long ones are counted in parts that end before white space."""
-    n, a = 0, 0
+def _encoding(path: str):
+    with open(path, "rb") as f:
+        return _encoding_of(f.read())
+
+
+def _tokens(enc, text: str, step: int = 1 << 20) -> Iterator[list[int]]:
+    """Tokens of a text; very long ones are encoded in parts that end before white space."""
+    a = 0
     while a < len(text):
         b = min(len(text), a + step)
         while b < len(text) and not (text[b].isspace() and not text[b - 1].isspace()) and b < a + 2 * step:
             b += 1
-        n += len(enc.encode_ordinary(text[a:b]))
+        yield enc.encode_ordinary(text[a:b])
         a = b
-    return n
+
+
+def _count(enc, text: str, step: int = 1 << 20) -> int:
+    return sum(map(len, _tokens(enc, text, step)))
+
+
+def _answers(enc, text: str) -> tuple[int, int]:
+    """(tokens, tokens that begin in an answer) of a text of questions and answers."""
+    marks = [(len(text[: m.start()].encode("utf-8", "replace")), m.group() == "\nA:") for m in _TURN.finditer(text)]
+    size = np.array([len(enc.decode_single_token_bytes(x)) for part in _tokens(enc, text) for x in part], np.int64)
+    turn = np.searchsorted([at for at, _ in marks], np.cumsum(size) - size, "right") - 1
+    answer = np.array([a for _, a in marks] + [False])  # the last stands for what comes before all marks
+    return len(size), int(answer[turn].sum())
 
 
 def token_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens, loss_tokens) of each row. Loss-bearing are the answers (from a line ``A:`` to the next
-    ``Q:``) of a text in question and answer form, else the whole text. Null and empty texts have 0 tokens."""
+    """(doc_id, tokens, loss_tokens) of each row, counted over the whole text. Loss-bearing are the answers (from a line
+    ``A:`` to the next ``Q:``) of a text in question and answer form, else the whole text. Null and empty texts have 0 tokens."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
+    with open(vocabulary, "rb") as f:
+        table = documents.sparkSession.sparkContext.broadcast(f.read())  # about 1 MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(vocabulary)
+        enc = _encoding_of(table.value)
         for batch in batches:
             for a, b, texts in texts_of(batch, "text"):
                 tokens, loss = [], []
                 for t in texts:
                     t = t or ""
-                    if t.startswith("Q:") and "\nA:" in t:
-                        parts = ["Q:" + p for p in ("\n" + t).split("\nQ:")[1:]]
-                        total = answer = 0
-                        for p in parts:
-                            q, _, rest = p.partition("\nA:")
-                            x, y = _count(enc, q), _count(enc, "\nA:" + rest) if rest else 0
-                            total, answer = total + x + y, answer + y
-                        tokens.append(total)
-                        loss.append(answer)
-                    else:
-                        tokens.append(_count(enc, t))
-                        loss.append(tokens[-1])
+                    n, answers = _answers(enc, t) if t.startswith("Q:") and "\nA:" in t else (_count(enc, t), None)
+                    tokens.append(n)
+                    loss.append(n if answers is None else answers)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(tokens, pa.int64()), pa.array(loss, pa.int64())], ["doc_id", "tokens", "loss_tokens"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, tokens long, loss_tokens long")
@@ -152,7 +164,8 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, max_segments: int = MAX_SEG
     share = lambda c, n: F.greatest(F.lit(0).cast("long"), F.least(F.lit(n).cast("long"), F.col(c) - F.col("part") * n))
     full = over.select("doc_id", "part", "parts", share("tokens", capacity).alias("tokens"), share("loss_tokens", max_loss).alias("loss_tokens"))
     whole = s.where("parts = 1").select("doc_id", F.lit(0).cast("long").alias("part"), "parts", "tokens", "loss_tokens").unionByName(full)
-    todo = whole.withColumn("block", F.pmod(F.xxhash64("doc_id", "part", F.rand(7)), F.lit(blocks)))
+    # row numbers of what was checkpointed: the same when a task runs again, and repeated ids go to different blocks
+    todo = whole.withColumn("block", F.pmod(F.xxhash64("doc_id", "part", F.monotonically_increasing_id()), F.lit(blocks)))
     schema = f"doc_id {sizes.schema['doc_id'].dataType.simpleString()}, part long, parts long, tokens long, loss_tokens long, window_id string, fill long"
     one = cut_lineage(todo.groupBy("block").applyInArrow(_pack_frames(limits, "a"), schema))
     low = F.col("fill") < FILLED * capacity

@@ -84,10 +84,11 @@ def pieces(text: str, cuts: list[np.ndarray], limit: int, overlap: int) -> Itera
     """(start, end, kind of the cut at the end) of consecutive pieces of at most ``limit`` units.
 
     A coarser boundary is taken if it leaves the piece at least half full. Consecutive pieces share at most
-    ``overlap`` units, fewer where the word that begins there would be cut; every piece goes beyond the last.
+    ``overlap`` units, fewer where the word that begins there would be cut; every piece goes beyond the last, so an
+    overlap of the limit or more counts as one character less than the limit.
     """
     room, n, start, done = max(1, limit) * UNIT, len(text), 0, 0
-    back = min(max(0, overlap) * UNIT, room // 2)
+    back = min(max(0, overlap) * UNIT, room - 1)
     while True:
         if n - start <= room:
             yield start, n, "end"

@@ -46,3 +46,23 @@ def test_long_texts_count_as_they_would_at_once():
     enc = pk._encoding(pk.VOCABULARY)
     text = "Some plain words, 12 numbers.\n" * 3000
     assert pk._count(enc, text, 1000) == len(enc.encode_ordinary(text))
+
+
+def test_questions_and_answers_count_as_whole_texts(spark):
+    texts = ["\n".join(f"Q: What is item {i}, größer?\nA: It is {i} of {n}.\n" for i in range(n)) for n in (1, 3, 40)]
+    enc = pk._encoding(pk.VOCABULARY)
+    got = {r.doc_id: r for r in pk.token_sizes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].tokens == len(enc.encode_ordinary(t))
+        assert 0.3 * got[i].tokens < got[i].loss_tokens < 0.7 * got[i].tokens
+    out = pk.pack(pk.token_sizes(spark.createDataFrame([(i, t) for i in range(30) for t in texts], "doc_id long, text string")), capacity=2000, max_loss=1200)
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.window_id, []).append(r)
+    assert all(sum(r.tokens for r in w) <= 2000 and sum(r.loss_tokens for r in w) <= 1200 for w in by.values())
+
+
+def test_loss_limit_binds():
+    sizes = np.array([[100, 1, 90]] * 40)
+    win = pk.pack_block(sizes, np.array([1000, 64, 300]))
+    assert np.bincount(win, sizes[:, 2]).max() == 270 and win.max() + 1 == 14
