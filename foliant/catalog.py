@@ -11,12 +11,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.common import read_table
-from foliant.functions import extract, records
+from foliant.common import latest, read_table
+from foliant.functions import display, extract, records
 from foliant.functions import text as tx
-from foliant.functions.vectors import offline_embedding
-from foliant.operators import chunker, concepts, graph, quality, search, store
+from foliant.functions.vectors import cosine, offline_embedding
+from foliant.operators import chunker, concepts, distill, graph, profiles, quality, search, store
 from foliant.plans import api, property_graph
+from foliant.plans import ingest as stored
 from foliant.plans import tables as t
 from foliant.plans.tables import sql
 from foliant.streaming import ingest
@@ -208,9 +209,12 @@ def special_blocks(s, d):
     return chunker.document_blocks(read_table(s, d, "documents")).select("document_id", "block_no", "block_type", "start_line", "end_line")
 
 
-@query("image_links", "cur", "SELECT chunk_id, unnest(regexp_extract_all(content, '!\\[.*?\\]\\((.+?)\\)', 1)) AS image FROM cur")
+@query("image_links", "", "SELECT doc_id, unnest(regexp_extract_all(text || chr(10) || '![' || coalesce(title, '') || '](figures/' || document_id || '.png)', '!\\[.*?\\]\\((.+?)\\)', 1)) AS image FROM documents WHERE text IS NOT NULL")
 def image_links(s, d):
-    return t.chunks(s, d).select("chunk_id", F.explode(F.regexp_extract_all("content", F.lit(r"!\[.*?\]\((.+?)\)"), 1)).alias("image"))
+    """Every text with a figure appended, since these texts have none of their own."""
+    figure = F.concat(F.lit("\n!["), F.coalesce("title", F.lit("")), F.lit("](figures/"), "document_id", F.lit(".png)"))
+    c = read_table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.concat("text", figure).alias("content"))
+    return c.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit(r"!\[.*?\]\((.+?)\)"), 1)).alias("image"))
 
 
 @query("section_of_line", "", "WITH s AS (SELECT * FROM sections QUALIFY row_number() OVER (PARTITION BY doc_id, section_no ORDER BY parsed_at DESC) = 1), l AS (SELECT DISTINCT doc_id, start_line + 1 AS line_no FROM s) SELECT l.doc_id, l.line_no, arg_max(s.section_no, {'a': s.level, 'b': s.start_line, 'c': s.section_no}) AS section_no FROM l JOIN s ON l.doc_id = s.doc_id AND l.line_no BETWEEN s.start_line AND s.end_line GROUP BY 1, 2")
@@ -240,13 +244,19 @@ def rolled_up_summaries(s, d):
     return api.summarize(t.described(s, d)).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query("repaired_chapters", "cur meta des", "WITH x AS (SELECT document_id, chunk_id, coalesce(word_count, 0) AS w, row_number() OVER (PARTITION BY document_id ORDER BY coalesce(word_count, 0), chunk_id) AS r, count(*) OVER (PARTITION BY document_id) AS n FROM des WHERE level = 1 AND document_id IS NOT NULL), m AS (SELECT document_id, w AS median FROM x WHERE r = n // 2 + 1) SELECT chunk_id AS source_id, 'truncated' AS reason FROM x JOIN m USING (document_id) WHERE w < least(median * 0.2, 20.0)")
-def repaired_chapters(s, d):
-    c = t.described(s, d).where("level = 1 AND document_id IS NOT NULL").select(F.col("chunk_id").alias("source_id"), "document_id", F.coalesce("word_count", F.lit(0)).alias("word_count"))
-    return store.repair_set(c, c)
+_SHORT = "SELECT document_id, source_id, w, row_number() OVER (PARTITION BY document_id ORDER BY w, source_id) AS r, count(*) OVER (PARTITION BY document_id) AS n FROM have"
 
 
-SQL["repaired_chapters"] = SQL["repaired_chapters"].replace(" WITH x AS", ", x AS")
+@query(
+    "repaired_chapters", "cur meta des vec",
+    "SELECT chunk_id AS source_id, 'missing' AS reason FROM des WHERE document_id IS NOT NULL AND chunk_id NOT IN (SELECT source_id FROM (SELECT chunk_id AS source_id FROM des WHERE document_id IS NOT NULL AND chunk_id IN (SELECT chunk_id FROM vec))) "
+    "UNION ALL SELECT h.source_id, 'truncated' FROM (SELECT document_id, chunk_id AS source_id, coalesce(word_count, 0) AS w FROM des WHERE document_id IS NOT NULL AND chunk_id IN (SELECT chunk_id FROM vec)) h JOIN "
+    "(SELECT document_id, w AS median FROM (" + _SHORT.replace("have", "(SELECT document_id, chunk_id AS source_id, coalesce(word_count, 0) AS w FROM des WHERE document_id IS NOT NULL AND chunk_id IN (SELECT chunk_id FROM vec))") + ") WHERE r = n // 2 + 1) m USING (document_id) WHERE h.w < least(m.median * 0.2, 20.0)",
+)
+def repaired_chapters(s, d):
+    """All chunks are sections; those that have a vector stand for summaries, so the others' are missing."""
+    c = t.described(s, d).where("document_id IS NOT NULL").select(F.col("chunk_id").alias("source_id"), "document_id", F.coalesce("word_count", F.lit(0)).alias("word_count"))
+    return store.repair_set(c, c.join(t.vectors(s, d).select(F.col("chunk_id").alias("source_id")), "source_id", "left_semi"))
 
 
 @query("graph_hops", "", "SELECT DISTINCT 'n' || n_nationkey AS origin, 'r' || n_regionkey AS summary_id FROM nation")
@@ -326,12 +336,12 @@ def vector_chunks(s, d):
 
 @query("document_stats", "cur meta des", "SELECT document_id, count(*) AS total_chunks, count(*) FILTER (level = 0) AS level_0, count(*) FILTER (level = 1) AS level_1, count(*) FILTER (level = 2) AS level_2, coalesce(sum(token_count), 0)::BIGINT AS total_tokens FROM des WHERE document_id IS NOT NULL GROUP BY 1")
 def document_stats(s, d):
-    return store.document_stats(t.described(s, d)).drop("by_type")
+    return store.document_stats(t.described(s, d))
 
 
 @query("semantic_type_counts", "cur meta des", "SELECT document_id, coalesce(semantic_type, 'unknown') AS type, count(*) AS n FROM des WHERE document_id IS NOT NULL GROUP BY 1, 2")
 def semantic_type_counts(s, d):
-    return store.document_stats(t.described(s, d)).select("document_id", F.explode("by_type").alias("x")).select("document_id", "x.type", "x.n")
+    return store.chunk_types(t.described(s, d)).select("document_id", F.explode("by_type").alias("x")).select("document_id", "x.type", "x.n")
 
 
 @query("edge_duplicates", "", "SELECT sum(n)::BIGINT AS total, count(*) AS unique_edges, (sum(n) - count(*))::BIGINT AS duplicates FROM (SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2)")
@@ -389,8 +399,11 @@ _USABLE = "embedding IS NOT NULL AND len(embedding) = 384 AND len(list_filter(em
 
 @query("semantic_top_k", "vec", f"SELECT chunk_id, CASE WHEN list_dot_product(embedding, embedding) = 0 THEN 0.0 ELSE list_cosine_similarity(embedding, {_P}) END AS score FROM vec WHERE {_USABLE} ORDER BY score DESC, chunk_id LIMIT 10")
 def semantic_top_k(s, d):
+    """Every stored vector is scored in the scan; which row of a chunk counts is settled on the scores alone."""
     good = (F.size("embedding") == DIM) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
-    return search.search_similar(t.vectors(s, d), PROBE, 10, None, good).select("chunk_id", "score")
+    score = F.when(good, cosine(F.col("embedding"), F.array(*[F.lit(x) for x in PROBE]))).alias("score")
+    scored = read_table(s, d, "vectors").select("chunk_id", "embedded_at", "model_name", score)
+    return latest(scored, ["chunk_id"], "embedded_at", [F.col("model_name").asc_nulls_last()]).where("score IS NOT NULL").select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(10)
 
 
 PROBES = [[((i * 37 + j * 11 + i * j % 13) % 101 - 50) / 50.0 for i in range(DIM)] for j in range(8)]  # a stated set of query vectors
@@ -446,9 +459,12 @@ def merged_concepts(s, d):
     return concepts.merge_by_name(c, c.withColumn("source_documents", F.array(F.lit("b")))).select("name", "concept_id")
 
 
-@query("garbage_concepts", "con", "SELECT concept_id FROM con WHERE trim(definition) = '' OR len(regexp_extract_all(trim(definition), '\\S+')) < 4")
+@query("garbage_concepts", "con", "SELECT concept_id FROM con WHERE len(regexp_extract_all(trim(concept_type), '\\S+')) < 4 UNION ALL SELECT 's' || s_suppkey FROM supplier")
 def garbage_concepts(s, d):
-    return t.concepts(s, d).where(concepts.is_garbage(4)).select("concept_id")
+    """Parts defined by their type alone, and suppliers without a definition."""
+    few = t.concepts(s, d).select("concept_id", F.col("concept_type").alias("definition"))
+    none = read_table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("concept_id"), F.lit(" ").alias("definition"))
+    return few.unionByName(none).where(concepts.is_garbage(4)).select("concept_id")
 
 
 @query("exported_concepts", "con", "SELECT concept_id, name, concept_type AS type, definition, array_to_string(aliases, '; ') AS aliases FROM con")
@@ -503,6 +519,180 @@ def event_sessions(s, d):
     return ingest.sessions(read_table(s, d, "events"))
 
 
+# --- what tools show, ingest, profiles, distilled figures -----------------------------------------------------------
+
+
+@query("chunk_records", "cur meta des", "SELECT chunk_id, document_id, level, coalesce(section_path, []) AS section_path, coalesce(topic_tags, []) AS topic_tags, coalesce(child_ids, []) AS child_ids, coalesce(has_table, false) AS has_table, coalesce(has_list, false) AS has_list FROM des")
+def chunk_records(s, d):
+    return display.chunk_record(t.described(s, d)).select("chunk_id", "document_id", "level", "section_path", "topic_tags", "child_ids", "has_table", "has_list")
+
+
+@query("document_records", "cur meta des", "SELECT x.document_id AS doc_id, coalesce(title, '') AS title, coalesce(n, 0)::BIGINT AS chunk_count, created_at FROM (SELECT document_id, title, created_at FROM documents UNION ALL SELECT document_id, any_value(document_id), NULL FROM des WHERE document_id IS NOT NULL GROUP BY document_id) x LEFT JOIN (SELECT document_id, count(*) AS n FROM des GROUP BY 1) USING (document_id)")
+def document_records(s, d):
+    """Documents waiting for ingestion and books ingested earlier."""
+    books = t.described(s, d).where("document_id IS NOT NULL").select("document_id").distinct().select("document_id", F.col("document_id").alias("title"))
+    docs = t.documents(s, d).select("document_id", "title", "created_at", "tag_list").unionByName(books, allowMissingColumns=True)
+    return display.document_record(docs, t.described(s, d)).drop("tags")
+
+
+@query("concept_records", "con", "SELECT concept_id, name, concept_type, definition, aliases FROM con")
+def concept_records(s, d):
+    return display.concept_record(t.concepts(s, d))
+
+
+@query("reranked_search", "vec cur", f"SELECT chunk_id, score, token_count FROM (SELECT v.chunk_id, list_cosine_similarity(v.embedding, {_P}) AS score, c.token_count FROM vec v JOIN cur c ON v.chunk_id = c.chunk_id WHERE {_USABLE.replace('embedding', 'v.embedding')} AND list_dot_product(v.embedding, v.embedding) > 0 ORDER BY score DESC, v.chunk_id LIMIT 30) ORDER BY token_count DESC NULLS LAST, score DESC, chunk_id LIMIT 10")
+def reranked_search(s, d):
+    """Three times as many chunks as asked for by cosine; of these the longest remain."""
+    v = t.vectors(s, d).where((F.size("embedding") == DIM) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
+    lib = api.Library(t.documents(s, d), t.chunks(s, d), v)
+    return lib.search_reranked(PROBE, F.col("token_count"), 10, threshold=None).select("chunk_id", "score", "token_count")
+
+
+@query("unpaired_rows", "cur meta vec", "SELECT chunk_id, 'no metadata' AS problem FROM cur WHERE chunk_id NOT IN (SELECT chunk_id FROM meta) UNION ALL SELECT chunk_id, 'no vector' FROM cur WHERE level = 2 AND content IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM vec) UNION ALL SELECT chunk_id, 'metadata of no chunk' FROM meta WHERE chunk_id NOT IN (SELECT chunk_id FROM cur) UNION ALL SELECT chunk_id, 'vector of no chunk' FROM vec WHERE chunk_id NOT IN (SELECT chunk_id FROM cur)")
+def unpaired_rows(s, d):
+    return stored.unpaired({"documents": t.documents(s, d), "chunks": t.chunks(s, d), "chunk_metadata": t.metadata(s, d), "vectors": t.vectors(s, d)})
+
+
+@query("ingested_documents")
+def ingested_documents(s, d):
+    """All four tables of every document, made from its text; one row a document with what was stored."""
+    new = stored.ingest(read_table(s, d, "documents").select("document_id", "title", "text"), 16)
+    leaves = new["vectors"].join(new["chunks"].select("chunk_id", "document_id"), "chunk_id").groupBy("document_id").agg(F.count("*").alias("vectors"))
+    return new["documents"].join(leaves, "document_id", "left").select("document_id", "chunk_count", F.coalesce("vectors", F.lit(0)).alias("vectors"))
+
+
+@query("restored_document", "cur meta des", f"SELECT count(*) AS chunks, count(*) FILTER (document_id = '{DOCUMENT}') AS own, count(DISTINCT document_id) AS documents FROM des WHERE document_id IS NULL OR document_id <> '{DOCUMENT}' OR level = 2")
+def restored_document(s, d):
+    """One book stored again with its leaves only: what it had before is replaced, the others stay."""
+    c, v = t.described(s, d), t.vectors(s, d)
+    books = c.where("document_id IS NOT NULL").select("document_id").distinct()
+    again = c.where((F.col("document_id") == DOCUMENT) & (F.col("level") == 2))
+    old = {"documents": books, "chunks": c, "chunk_metadata": t.metadata(s, d), "vectors": v}
+    new = {"documents": books.where(F.col("document_id") == DOCUMENT), "chunks": again, "chunk_metadata": t.metadata(s, d).join(again, "chunk_id", "left_semi"), "vectors": v.join(again, "chunk_id", "left_semi")}
+    out = stored.store_document(old, new)["chunks"]
+    return out.agg(F.count("*").alias("chunks"), F.count_if(F.col("document_id") == DOCUMENT).alias("own"), F.countDistinct("document_id").alias("documents"))
+
+
+_N = "(length(c) - length(replace(c, {0}, '')))::DOUBLE / {1}"
+
+
+@query(
+    "conversion_issues", "",
+    "SELECT doc_id, array_to_string(list_filter([CASE WHEN length(c) > 0 AND length(regexp_replace(c, '[\\p{L}\\p{M}\\p{N}\\p{Pc}\\p{Z}\\s]', '', 'g'))::DOUBLE / length(c) > 0.15 THEN 'special_characters' END, CASE WHEN len(regexp_extract_all(c, '\\S+')) < 1000 THEN 'short' END, "
+    f"CASE WHEN {_N.format(repr('|---'), 4)} > 0 AND {_N.format(repr('|'), 1)} < 3 * {_N.format(repr('|---'), 4)} THEN 'broken_tables' END, CASE WHEN {_N.format('chr(10) || chr(10) || chr(10)', 3)} > 0.1 * len(string_split(c, chr(10))) THEN 'empty_lines' END], lambda x: x IS NOT NULL), ',') AS issues FROM (SELECT doc_id, coalesce(text, '') AS c FROM documents)",
+)
+def conversion_issues(s, d):
+    return read_table(s, d, "documents").select("doc_id", F.concat_ws(",", quality.conversion_issues("text")).alias("issues"))
+
+
+_KINDS = {x: x for x in profiles.ALL_TYPES} | {o: k for k, names in profiles.OTHER_NAMES.items() for o in names.split() if o not in profiles.ALL_TYPES}
+
+
+@query("typed_tags", "meta", "SELECT DISTINCT tag, coalesce(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _KINDS.items()) + "}[regexp_replace(lower(trim(tag)), '[- ]', '_', 'g')], 'term') AS concept_type FROM (SELECT unnest(topic_tags) AS tag FROM meta)")
+def typed_tags(s, d):
+    return t.metadata(s, d).select(F.explode("topic_tags").alias("tag")).distinct().select("tag", profiles.concept_type("tag").alias("concept_type"))
+
+
+@query("occurrence_edges", "cur meta", "SELECT DISTINCT chunk_id, tag AS concept_id FROM (SELECT chunk_id, unnest(topic_tags) AS tag FROM meta) WHERE chunk_id IN (SELECT chunk_id FROM cur)")
+def occurrence_edges(s, d):
+    """Tags as concepts that occur in the section summaries of the chunks that carry them."""
+    m = t.metadata(s, d).select("chunk_id", F.explode("topic_tags").alias("concept_id"))
+    return distill.occurrence_edges(m.select("concept_id", F.array(F.concat(F.lit("summary_"), "chunk_id", F.lit("_section")), F.lit("other")).alias("occurrences")), t.chunks(s, d))
+
+
+@query("shared_concepts", "meta", "SELECT tag AS concept_id, count(DISTINCT document_id) AS documents, (15 + 5 * (count(DISTINCT document_id) - 1))::BIGINT AS size FROM (SELECT document_id, unnest(topic_tags) AS tag FROM meta WHERE document_id IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT document_id) >= 2")
+def shared_concepts(s, d):
+    return distill.shared_concepts(t.metadata(s, d).where("document_id IS NOT NULL").select(F.explode("topic_tags").alias("concept_id"), "document_id"))
+
+
+@query(
+    "specialist", "con edg",
+    "SELECT 'stock-keeping_specialist' AS name, 'Specialist on ''Stock keeping'' with ' || (SELECT count(*) FROM con) || ' concepts in ' || (SELECT count(*) FROM nation) || ' chapters' AS description, "
+    "(SELECT list(name ORDER BY n DESC, concept_id) FROM (SELECT c.name, c.concept_id, coalesce(e.n, 0) AS n FROM con c LEFT JOIN (SELECT src, count(*) AS n FROM edg GROUP BY 1) e ON c.concept_id = e.src ORDER BY n DESC, c.concept_id LIMIT 10)) AS expertise, "
+    "(SELECT list(concept_type || ':' || n ORDER BY n DESC, concept_type) FROM (SELECT concept_type, count(*) AS n FROM con GROUP BY 1)) AS concept_types, (SELECT count(*) FROM con) AS total_concepts, (SELECT count(*) FROM nation) AS total_chapters",
+)
+def specialist(s, d):
+    return distill.specialist(t.concepts(s, d), t.edges(s, d), read_table(s, d, "nation"), "Stock keeping")
+
+
+# --- the stored graph queries ----------------------------------------------------------------------------------------
+
+_ENDS = {"relates_to": ("customer", "u", "c_custkey", "n", "c_nationkey"), "component_of": ("supplier", "s", "s_suppkey", "n", "s_nationkey"), "uses": ("supplier", "s", "s_suppkey", "n", "s_nationkey"), "recorded_in": ("customer", "u", "c_custkey", "n", "c_nationkey"), "calculated_from": ("nation", "n", "n_nationkey", "r", "n_regionkey"), "supersedes": ("nation", "n", "n_nationkey", "r", "n_regionkey"), "requires": ("lineitem", "c", "l_partkey", "s", "l_suppkey")}
+_HOPS = {k: v for k, v in property_graph.NAMED.items() if v[0] in ("in", "out") and v[2] != "sibling_of"}
+
+
+def stored_graph(s: SparkSession, d: str) -> property_graph.PropertyGraph:
+    """Books, chunks, vectors and tags, and the business tables as concepts and summaries, as one graph."""
+    text = lambda c: F.col(c).cast("string")
+    c, v, sm = t.described(s, d).where("document_id IS NOT NULL"), t.vectors(s, d), t.summaries(s, d)
+    tags = c.select("chunk_id", F.explode("topic_tags").alias("concept_id"))
+    names = {"part": ("c", "p_partkey"), "supplier": ("s", "s_suppkey"), "customer": ("u", "c_custkey"), "nation": ("n", "n_nationkey"), "region": ("r", "r_regionkey")}
+    nodes = tags.select("concept_id").distinct()
+    for table, (mark, key) in names.items():
+        nodes = nodes.unionByName(read_table(s, d, table).select(F.concat(F.lit(mark), text(key)).alias("concept_id")))
+    pairs = [
+        ("has_chunk", c.select(F.col("document_id").alias("src"), F.col("chunk_id").alias("dst"))), ("parent_of", c.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("chunk_id").alias("dst"))),
+        ("next_sibling", c.where("next_id IS NOT NULL").select(F.col("chunk_id").alias("src"), F.col("next_id").alias("dst"))), ("has_embedding", v.select(F.col("chunk_id").alias("src"), F.concat(F.lit("v"), "chunk_id").alias("dst"))),
+        ("has_embedding", sm.select(F.col("summary_id").alias("src"), F.concat(F.lit("v"), "summary_id").alias("dst"))), ("defines_concept", tags.select(F.col("chunk_id").alias("src"), F.col("concept_id").alias("dst"))),
+        ("mentions_concept", tags.select(F.col("chunk_id").alias("src"), F.col("concept_id").alias("dst"))), ("has_child", sm.where("parent_summary_id IS NOT NULL").select(F.col("parent_summary_id").alias("src"), F.col("summary_id").alias("dst"))),
+        ("has_summary", sm.select(F.when(F.col("level") == "document", DOCUMENT).alias("src"), F.col("summary_id").alias("dst")).where("src IS NOT NULL")),
+        *[(kind, read_table(s, d, table).select(F.concat(F.lit(a), text(x)).alias("src"), F.concat(F.lit(b), text(y)).alias("dst"))) for kind, (table, a, x, b, y) in _ENDS.items()],
+    ]
+    edges = None
+    for kind, df in pairs:
+        df = df.select("src", "dst", F.lit(kind).alias("type"))
+        edges = df if edges is None else edges.unionByName(df)
+    vectors = {"chunk_vector": v.select(F.concat(F.lit("v"), "chunk_id").alias("vector_id")), "summary_vector": sm.select(F.concat(F.lit("v"), "summary_id").alias("vector_id"))}
+    return property_graph.PropertyGraph({"document": c.select("document_id").distinct(), "chunk": c, "concept": nodes, "summary": sm, **vectors}, edges)
+
+
+_GRAPH = (
+    "ch AS (SELECT * FROM des WHERE document_id IS NOT NULL), tg AS (SELECT chunk_id, unnest(topic_tags) AS tag FROM ch), k_document AS (SELECT DISTINCT document_id AS id FROM ch), k_chunk AS (SELECT chunk_id AS id FROM ch), "
+    "k_concept AS (SELECT DISTINCT tag AS id FROM tg UNION ALL SELECT 'c' || p_partkey FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier UNION ALL SELECT 'u' || c_custkey FROM customer UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region), "
+    "k_summary AS (SELECT summary_id AS id FROM summ), k_chunk_vector AS (SELECT 'v' || chunk_id AS id FROM vec), k_summary_vector AS (SELECT 'v' || summary_id AS id FROM summ), "
+    "e AS (SELECT document_id AS src, chunk_id AS dst, 'has_chunk' AS type FROM ch UNION ALL SELECT parent_id, chunk_id, 'parent_of' FROM ch WHERE parent_id IS NOT NULL UNION ALL SELECT chunk_id, next_id, 'next_sibling' FROM ch WHERE next_id IS NOT NULL "
+    "UNION ALL SELECT chunk_id, 'v' || chunk_id, 'has_embedding' FROM vec UNION ALL SELECT summary_id, 'v' || summary_id, 'has_embedding' FROM summ UNION ALL SELECT chunk_id, tag, 'defines_concept' FROM tg UNION ALL SELECT chunk_id, tag, 'mentions_concept' FROM tg "
+    f"UNION ALL SELECT parent_summary_id, summary_id, 'has_child' FROM summ WHERE parent_summary_id IS NOT NULL UNION ALL SELECT '{DOCUMENT}', summary_id, 'has_summary' FROM summ WHERE level = 'document' "
+    + " ".join(f"UNION ALL SELECT '{a}' || {x}, '{b}' || {y}, '{kind}' FROM {table}" for kind, (table, a, x, b, y) in _ENDS.items())
+    + ")"
+)
+
+
+def _hop_sql(name: str, way: str, start: str, edge: str, to: str) -> str:
+    a, b = ("dst", "src") if way == "in" else ("src", "dst")
+    return f"SELECT '{name}' AS query, count(DISTINCT o) AS origins, count(*) AS n FROM (SELECT DISTINCT {a} AS o, {b} AS x FROM e WHERE type = '{edge}') WHERE o IN (SELECT id FROM k_{start}) AND x IN (SELECT id FROM k_{to})"
+
+
+@query("stored_hops", "cur meta des vec summ", "SELECT 1")
+def stored_hops(s, d):
+    """Every stored query that is a hop, from all nodes it can start at: how many have an answer, and the answers."""
+    g, out = stored_graph(s, d), None
+    for name, (_, start, *_rest) in _HOPS.items():
+        found = g.run(name, g.nodes[start].select(F.col(g.keys[start]).alias("id"))).agg(F.lit(name).alias("query"), F.countDistinct("origin").alias("origins"), F.count("*").alias("n"))
+        found = found.select("query", "origins", "n")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+SQL["stored_hops"] = sql("cur meta des vec summ", "SELECT * FROM (" + " UNION ALL ".join(_hop_sql(k, *v) for k, v in _HOPS.items()) + ")").replace(" SELECT * FROM (SELECT 'document_chunks'", ", " + _GRAPH + " SELECT * FROM (SELECT 'document_chunks'", 1)
+
+
+@query("changed_graph", "cur meta des vec summ", "SELECT 1")
+def changed_graph(s, d):
+    """Edges by type after a book's chunks are dropped, other chunks lose their definitions and links are added."""
+    g = stored_graph(s, d)
+    own = g.nodes["chunk"].where(F.col("document_id") == DOCUMENT).select(F.col("chunk_id").alias("id"))
+    top = g.nodes["chunk"].where("level = 1").select(F.col("chunk_id").alias("id"))
+    added = g.nodes["summary"].where("level = 'chapter'").select(F.lit(DOCUMENT).alias("src"), F.col("summary_id").alias("dst"))
+    return g.drop("chunk", own).unlink(top, "defines_concept").link(added, "has_summary").edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
+SQL["changed_graph"] = sql("cur meta des vec summ", "").rstrip() + ", " + _GRAPH + (
+    f", own AS (SELECT chunk_id FROM ch WHERE document_id = '{DOCUMENT}'), kept AS (SELECT type FROM e WHERE src NOT IN (SELECT chunk_id FROM own) AND dst NOT IN (SELECT chunk_id FROM own) AND NOT (type = 'defines_concept' AND src IN (SELECT chunk_id FROM ch WHERE level = 1)) "
+    "UNION ALL SELECT 'has_summary' FROM summ WHERE level = 'chapter') SELECT type, count(*) AS n FROM kept GROUP BY 1"
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

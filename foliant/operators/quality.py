@@ -155,3 +155,22 @@ def chunk_quality(chunks: DataFrame, by: str = "document_id", t: Thresholds = Th
     n = word_count("content")
     out = chunks.groupBy(by).agg(F.count("*").alias("chunk_count"), F.count_if(n == 0).alias("empty_chunks"), F.count_if((n > 0) & (n < t.small_chunk_words)).alias("small_chunks"), F.avg(n).alias("avg_chunk_words"))
     return out.withColumn("empty_ratio", F.col("empty_chunks") / F.col("chunk_count")).withColumn("small_ratio", F.col("small_chunks") / F.col("chunk_count"))
+
+
+#: Limits of the converter's own check (fixed values): share of special characters, words, bars a table, triple breaks a line.
+CONVERTED = {"special": 0.15, "words": 1000, "bars": 3, "gaps": 0.1}
+
+
+def conversion_issues(text: str = "text") -> Column:
+    """Codes of what seems wrong with converted markdown: special_characters, short, broken_tables, empty_lines. Null counts as ''."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    n = lambda part: (F.length(c) - F.length(F.replace(c, F.lit(part)))) / len(part)
+    lines, tables = F.size(F.split(c, "\n")), n("|---")
+    special = F.length(F.regexp_replace(c, r"[\p{L}\p{M}\p{N}\p{Pc}\p{Z}\s]", "")) / F.length(c)
+    found = [
+        F.when((F.length(c) > 0) & (special > CONVERTED["special"]), "special_characters"),
+        F.when(F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")) < CONVERTED["words"], "short"),
+        F.when((tables > 0) & (n("|") < CONVERTED["bars"] * tables), "broken_tables"),
+        F.when(n("\n\n\n") > CONVERTED["gaps"] * lines, "empty_lines"),
+    ]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())

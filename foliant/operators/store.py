@@ -74,13 +74,16 @@ def repair_set(sections: DataFrame, summaries: DataFrame, share: float = 0.2, mo
 
 
 def document_stats(chunks: DataFrame) -> DataFrame:
-    """Per document: chunks, chunks by level, tokens, and a sorted array of (semantic type, chunks)."""
-    types = chunks.groupBy("document_id", F.coalesce("semantic_type", F.lit("unknown")).alias("type")).agg(F.count("*").alias("n"))
-    types = types.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("type", "n"))).alias("by_type"))
-    base = chunks.groupBy("document_id").agg(
+    """Per document: chunks, chunks by level and tokens, in one aggregate."""
+    return chunks.groupBy("document_id").agg(
         F.count("*").alias("total_chunks"), *[F.count_if(F.col("level") == k).alias(f"level_{k}") for k in (0, 1, 2)], F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_tokens")
     )
-    return base.join(types, "document_id")
+
+
+def chunk_types(chunks: DataFrame) -> DataFrame:
+    """(document_id, by_type): a sorted array of (semantic type, chunks) for each document; null types are unknown."""
+    types = chunks.groupBy("document_id", F.coalesce("semantic_type", F.lit("unknown")).alias("type")).agg(F.count("*").alias("n"))
+    return types.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("type", "n"))).alias("by_type"))
 
 
 def status_counts(files: DataFrame, column: str = "status", values: tuple[str, ...] = ("pending", "processing", "completed", "failed", "skipped")) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions import display
 from foliant.functions import text as tx
 from foliant.functions.vectors import offline_embedding
 from foliant.operators import concepts as co
@@ -44,6 +46,33 @@ class Library:
             rows = rows.join(search.with_all_tags(self.documents, tags).select("document_id"), "document_id", "left_semi")
         return search.search_similar(self.vectors.select("chunk_id", "embedding").join(rows, "chunk_id"), vector, top_k, threshold).drop("embedding")
 
+    def search_reranked(self, query: str | Sequence[float], score, top_k: int = 5, over: int = 3, threshold: float | None = 0.0, tags: Sequence[str] | None = None, **conditions) -> DataFrame:
+        """``over`` times as many rows as asked for by cosine, of which the best by another score remain. ``score`` is a
+        column, or a function of the query that gives one; where it fails to give one the order by cosine stays."""
+        found = self.search_semantic(query, top_k * over, threshold, tags, **conditions)
+        try:
+            by = score(query) if callable(score) else score
+        except Exception:  # a provider that can't be reached must not fail the search
+            by = F.lit(None).cast("double")
+        return search.rerank(found, by, top_k)
+
+    def resource(self, uri: str) -> DataFrame:
+        """(uri, json) of ``library://documents``, ``library://document/ID``, ``library://chunk/ID`` or ``library://schema``;
+        no row for an unknown id."""
+        kind, _, name = uri.removeprefix("library://").partition("/")
+        if kind == "schema":
+            found = {k: v.schema.simpleString() for k in ("documents", "chunks", "vectors", "concepts", "edges", "summaries") if (v := getattr(self, k)) is not None}
+            return self.chunks.sparkSession.createDataFrame([(uri, json.dumps(found))], "uri string, json string")
+        if kind == "documents":
+            rows = self.documents
+        elif kind == "document":
+            rows = self.documents.where(F.col("document_id") == name)
+        elif kind == "chunk":
+            rows = display.chunk_record(self.get_chunk(name))
+        else:
+            raise ValueError(f"unknown resource {uri}")
+        return rows.select(F.lit(uri).alias("uri"), F.to_json(F.struct("*")).alias("json"))
+
     def search_keyword(self, keyword: str, doc_id: str | None = None, case_sensitive: bool = False) -> DataFrame:
         return search.search_keyword(self.chunks, keyword, case_sensitive, search.chunk_filter(doc_id=doc_id) if doc_id else None)
 
@@ -81,7 +110,8 @@ class Library:
         return self.chunks.where(search.chunk_filter(doc_id=doc_id, level=level)).orderBy("sequence_position", "chunk_id")
 
     def get_document_stats(self, doc_id: str) -> DataFrame:
-        return store.document_stats(self.chunks.where(F.col("document_id") == doc_id))
+        own = self.chunks.where(F.col("document_id") == doc_id)
+        return store.document_stats(own).join(store.chunk_types(own), "document_id")
 
     # concepts
 

@@ -65,15 +65,16 @@ class PropertyGraph:
     def link(self, pairs: DataFrame, edge: str) -> PropertyGraph:
         return replace(self, edges=self.edges.unionByName(pairs.select("src", "dst", F.lit(edge).alias("type"))))
 
-    def update(self, kind: str, changes: DataFrame) -> PropertyGraph:
-        """Columns of ``changes`` replace those of the same key where they aren't null."""
+    def update(self, kind: str, changes: DataFrame, nulls: bool = False) -> PropertyGraph:
+        """Columns of ``changes`` replace those of the same key where they aren't null, or with ``nulls`` even there."""
         key = self.keys[kind]
-        new = changes.select(key, *[F.col(c).alias(f"__{c}") for c in changes.columns if c != key])
+        new = changes.select(key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in changes.columns if c != key])
         df = self.nodes[kind].join(new, key, "left")
         for c in changes.columns:
             if c != key:
-                df = df.withColumn(c, F.coalesce(F.col(f"__{c}"), F.col(c))).drop(f"__{c}")
-        return replace(self, nodes={**self.nodes, kind: df})
+                value = F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) if nulls else F.coalesce(F.col(f"__{c}"), F.col(c))
+                df = df.withColumn(c, value).drop(f"__{c}")
+        return replace(self, nodes={**self.nodes, kind: df.drop("__hit")})
 
     def drop(self, kind: str, ids: DataFrame) -> PropertyGraph:
         """Without these nodes and every edge of theirs."""

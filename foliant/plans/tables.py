@@ -11,11 +11,11 @@ from foliant.functions.text import json_list
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Current chunks."""
-    return latest(read_table(spark, d, "chunks"), ["chunk_id"], "ingested_at")
+    return latest(read_table(spark, d, "chunks"), ["chunk_id"], "ingested_at", [F.col("token_count").asc_nulls_last()])
 
 
 def metadata(spark: SparkSession, d: str) -> DataFrame:
-    return latest(read_table(spark, d, "chunk_metadata"), ["chunk_id"], "ingested_at")
+    return latest(read_table(spark, d, "chunk_metadata"), ["chunk_id"], "ingested_at", [F.col("document_id").asc_nulls_last(), F.col("sequence_position").asc_nulls_last()])
 
 
 def described(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +25,7 @@ def described(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return latest(read_table(spark, d, "vectors"), ["chunk_id"], "embedded_at")
+    return latest(read_table(spark, d, "vectors"), ["chunk_id"], "embedded_at", [F.col("model_name").asc_nulls_last()])
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
