@@ -259,10 +259,10 @@ def repaired_chapters(s, d):
     return store.repair_set(c, c.join(t.vectors(s, d).select(F.col("chunk_id").alias("source_id")), "source_id", "left_semi"))
 
 
-@query("graph_hops", "", "SELECT DISTINCT 'n' || n_nationkey AS origin, 'r' || n_regionkey AS summary_id FROM nation")
+@query("graph_hops", "summ", "SELECT summary_id AS origin, parent_summary_id AS summary_id FROM summ WHERE parent_summary_id IS NOT NULL")
 def graph_hops(s, d):
     sm = t.summaries(s, d)
-    e = sm.where("level = 'chapter'").select(F.col("parent_summary_id").alias("src"), F.col("summary_id").alias("dst"), F.lit("has_child").alias("type"))
+    e = sm.where("parent_summary_id IS NOT NULL").select(F.col("parent_summary_id").alias("src"), F.col("summary_id").alias("dst"), F.lit("has_child").alias("type"))
     g = property_graph.PropertyGraph({"summary": sm}, e)
     return g.run("summary_parent", sm.select(F.col("summary_id").alias("id"))).select("origin", "summary_id")
 
@@ -272,7 +272,14 @@ def invalid_chunks(s, d):
     return t.described(s, d).where(F.size(records.chunk_errors()) > 0).select("chunk_id")
 
 
-@query("chunk_nodes")
+_LISTS, _FLAGS, _NUMBERS = ("child_ids", "section_path", "topic_tags", "sibling_ids"), ("has_table", "has_code", "has_math", "has_list", "has_image"), ("level", "token_count", "word_count", "sequence_position", "header_level")
+_TEXTS = ("chunk_id", "content", "parent_id", "prev_id", "next_id", "document_id", "semantic_type", "header_text", "block_type")
+
+
+@query(
+    "chunk_nodes", "cur meta des",
+    "SELECT " + ", ".join([*[f"coalesce({c}, '') AS {c}" for c in _TEXTS], *[f"coalesce({c}, 0) AS {c}" for c in _NUMBERS], *[f"coalesce({c}, false)::INT AS {c}" for c in _FLAGS], *[f"CAST(to_json(coalesce({c}, [])) AS VARCHAR) AS {c}" for c in _LISTS]]) + " FROM des",
+)
 def chunk_nodes(s, d):
     return records.to_node(t.described(s, d).drop("ingested_at"))
 
@@ -303,7 +310,7 @@ def context_windows(s, d):
 
 @query("chunk_links", "cur meta des", "SELECT chunk_id, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id FROM des WINDOW w AS (PARTITION BY document_id, level ORDER BY sequence_position, chunk_id)")
 def chunk_links(s, d):
-    return graph.links(t.described(s, d).drop("prev_id", "next_id")).select("chunk_id", "prev_id", "next_id")
+    return graph.ordered_links(t.described(s, d), ["document_id", "level"], ["sequence_position", "chunk_id"], "chunk_id")
 
 
 @query("related_concepts", "edg", "SELECT DISTINCT src AS concept_id, dst AS related_id, type FROM edg WHERE type IN ('relates_to', 'component_of')")
@@ -485,9 +492,9 @@ def summary_hierarchy(s, d):
     return graph.hierarchy(t.summaries(s, d))
 
 
-@query("graph_edges_dot", "edg", "SELECT DISTINCT '  \"' || lower(src) || '\" -> \"' || lower(dst) || '\" [label=\"' || type || '\"];' AS line FROM edg WHERE type <> 'requires'")
+@query("graph_edges_dot", "edg", "SELECT DISTINCT '  \"' || lower(src) || '\" -> \"' || lower(dst) || '\" [label=\"' || type || '\"];' AS line FROM edg")
 def graph_edges_dot(s, d):
-    return graph.dot_rows(t.edges(s, d).where("type <> 'requires'"))
+    return graph.dot_rows(t.edges(s, d))
 
 
 @query("deleted_document", "cur meta des", f"SELECT chunk_id, document_id FROM des WHERE coalesce(document_id <> '{DOCUMENT}', true)")

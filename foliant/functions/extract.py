@@ -30,17 +30,25 @@ def central_sentences(text: str, n: int = 3, damping: float = 0.85, rounds: int
         return " ".join(s)
     bags = [set(w.lower() for w in _WORD.findall(x)) - STOP for x in s]
     vocabulary = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
-    m = np.zeros((len(s), len(vocabulary) or 1))
-    for i, b in enumerate(bags):
-        m[i, [vocabulary[w] for w in b]] = 1
-    size = np.log(np.maximum([len(b) for b in bags], 1)) + 1
-    weight = (m @ m.T) / (size[:, None] + size[None, :])
-    np.fill_diagonal(weight, 0)
-    share = weight / np.maximum(weight.sum(1, keepdims=True), 1e-12)
+    # words of all sentences in one row, so that memory grows with the text and not with its square
+    at = np.array([vocabulary[w] for b in bags for w in sorted(b)], np.int64)
+    many = np.array([len(b) for b in bags])
+    owner = np.repeat(np.arange(len(s)), many)
+    size = np.log(np.maximum(many, 1)) + 1
+
+    def shared(v: np.ndarray) -> np.ndarray:
+        """Sum over the other sentences of v times the words in common, divided by both sizes; few sizes differ."""
+        out = np.zeros(len(s))
+        for c in np.unique(size):
+            words = np.bincount(at, np.where(size == c, v, 0)[owner], minlength=len(vocabulary) or 1)
+            out += np.bincount(owner, words[at], minlength=len(s)) / (c + size)
+        return out - v * many / (2 * size)
+
+    total = np.maximum(shared(np.ones(len(s))), 1e-12)
     rank = np.full(len(s), 1 / len(s))
     for _ in range(rounds):
-        rank = (1 - damping) / len(s) + damping * rank @ share
-    best = sorted(np.lexsort((np.arange(len(s)), -rank))[:n])
+        rank = (1 - damping) / len(s) + damping * shared(rank / total)
+    best = sorted(np.lexsort((np.arange(len(s)), -np.round(rank, 12)))[:n])
     return " ".join(s[i] for i in best)
 
 

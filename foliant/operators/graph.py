@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.common import cut_lineage
+
 #: Edge types between concepts in the order in which results list them (fixed values).
 EDGE_TYPES = ("relates_to", "requires", "uses", "calculated_from", "recorded_in", "component_of", "parent_of")
 
@@ -37,10 +39,28 @@ def sibling_counts(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "parent_id").join(n, "parent_id").select("chunk_id", "siblings")
 
 
+def ordered_links(rows: DataFrame, group: list[str], order: list[str], key: str) -> DataFrame:
+    """(key, prev_id, next_id): the rows before and after within a group, in order; keys must be unique.
+
+    Rows are sorted over ranges, so a group of any size is spread over tasks; the ends of the ranges, one row a range,
+    are handed to their neighbours."""
+    by = [*group, *order, *([key] if key not in order else [])]
+    sorted_rows = rows.select(*dict.fromkeys(by)).repartitionByRange(*by).sortWithinPartitions(*by)
+    parts = cut_lineage(sorted_rows.withColumn("__part", F.spark_partition_id()))
+    w = Window.partitionBy("__part", *group).orderBy(*[F.asc(c) for c in by])
+    ends = parts.groupBy("__part").agg(*[f(F.struct(*by)).alias(n) for n, f in (("first", F.min), ("last", F.max))]).orderBy("__part").collect()  # one row a range
+    same = [(x, y) for x, y in zip(ends, ends[1:], strict=False) if all(x["last"][g] == y["first"][g] for g in group)]
+    schema = rows.select(F.col(key).alias("__at"), F.col(key).alias("__other")).schema
+    spark = rows.sparkSession
+    before = F.broadcast(spark.createDataFrame([(y["first"][key], x["last"][key]) for x, y in same], schema).select(F.col("__at").alias(key), F.col("__other").alias("__before")))
+    after = F.broadcast(spark.createDataFrame([(x["last"][key], y["first"][key]) for x, y in same], schema).select(F.col("__at").alias(key), F.col("__other").alias("__after")))
+    out = parts.select(key, F.lag(key).over(w).alias("prev_id"), F.lead(key).over(w).alias("next_id")).join(before, key, "left").join(after, key, "left")
+    return out.select(key, F.coalesce("prev_id", "__before").alias("prev_id"), F.coalesce("next_id", "__after").alias("next_id"))
+
+
 def links(chunks: DataFrame, order: str = "sequence_position") -> DataFrame:
-    """prev_id and next_id within a document and level, in order."""
-    w = Window.partitionBy("document_id", "level").orderBy(order, "chunk_id")
-    return chunks.withColumn("prev_id", F.lag("chunk_id").over(w)).withColumn("next_id", F.lead("chunk_id").over(w))
+    """``chunks`` (unique chunk_ids) with prev_id and next_id within a document and level, in order."""
+    return chunks.drop("prev_id", "next_id").join(ordered_links(chunks, ["document_id", "level"], [order, "chunk_id"], "chunk_id"), "chunk_id")
 
 
 def positions(chunks: DataFrame, order: str) -> DataFrame:
@@ -114,14 +134,23 @@ def hierarchy(summaries: DataFrame) -> DataFrame:
     return two.select("summary_id", depth.alias("depth"), root.alias("root_id"))
 
 
+SPAN = 64  # lines in a block
+
+
 def section_of_line(sections: DataFrame, lines: DataFrame, strict: bool = True) -> DataFrame:
     """(doc_id, line_no, section_no): the section whose line range has the line; the deepest, then the last, of several.
 
     ``strict`` uses each section's own range; otherwise a line that no range has belongs to the nearest section before."""
     s = sections.select("doc_id", "section_no", "level", "start_line", "end_line")
-    inside = (F.col("line_no") >= F.col("start_line")) & ((F.col("line_no") <= F.col("end_line")) if strict else F.lit(True))
-    best = F.max_by("section_no", F.struct("level", "start_line", "section_no") if strict else F.struct("start_line", "section_no"))
-    return lines.join(s, "doc_id").where(inside).groupBy("doc_id", "line_no").agg(best.alias("section_no"))
+    if not strict:
+        best = F.max_by("section_no", F.struct("start_line", "section_no"))
+        return lines.join(s, "doc_id").where("line_no >= start_line").groupBy("doc_id", "line_no").agg(best.alias("section_no"))
+    # ranges and lines meet in blocks of lines, so that a long document is no single group
+    block = lambda c: F.floor(F.col(c) / SPAN)
+    s = s.where("end_line >= start_line").withColumn("__b", F.explode(F.sequence(block("start_line"), block("end_line"))))
+    inside = F.col("line_no").between(F.col("start_line"), F.col("end_line"))
+    best = F.max_by("section_no", F.struct("level", "start_line", "section_no"))
+    return lines.withColumn("__b", block("line_no")).join(s, ["doc_id", "__b"]).where(inside).groupBy("doc_id", "line_no").agg(best.alias("section_no"))
 
 
 def dot_rows(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import word_count
+from foliant.operators.graph import links
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,8 +31,7 @@ def delete_chunks(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     prev_id and next_id are set anew from the order of what remains in each document and level."""
     gone = ids.select("chunk_id").distinct()
     left = chunks.join(gone, "chunk_id", "left_anti")
-    w = Window.partitionBy("document_id", "level").orderBy("sequence_position", "chunk_id")
-    left = left.withColumn("prev_id", F.lag("chunk_id").over(w)).withColumn("next_id", F.lead("chunk_id").over(w))
+    left = links(left)
     dead = left.select(F.col("chunk_id"), F.explode("child_ids").alias("child")).join(gone.select(F.col("chunk_id").alias("child")), "child")
     dead = dead.groupBy("chunk_id").agg(F.collect_set("child").alias("__dead"))
     out = left.join(dead, "chunk_id", "left")

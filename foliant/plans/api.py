@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import display
@@ -138,8 +138,10 @@ class Library:
     def explain_concept(self, name: str, chunks: int = 3, related: int = 5) -> DataFrame:
         """One row: the concept, its first definitions and its first related concepts."""
         c = self.get_concept(name)
-        cites = self.get_concept_with_citations(name, 300).groupBy("concept_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("chunk_id", "preview"))), 1, chunks).alias("definitions"))
-        near = graph.related(self.edges, graph.EDGE_TYPES).groupBy("concept_id").agg(F.slice(F.array_sort(F.collect_set("related_id")), 1, related).alias("related"))
+        first = lambda df, n, *by: df.withColumn("__r", F.row_number().over(Window.partitionBy("concept_id").orderBy(*by))).where(F.col("__r") <= n)
+        cites = first(self.get_concept_with_citations(name, 300), chunks, "chunk_id", "preview").groupBy("concept_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "preview"))).alias("definitions"))
+        ids = graph.related(self.edges, graph.EDGE_TYPES).join(c.select("concept_id"), "concept_id", "left_semi").select("concept_id", "related_id").distinct()
+        near = first(ids, related, "related_id").groupBy("concept_id").agg(F.array_sort(F.collect_list("related_id")).alias("related"))
         return c.join(cites, "concept_id", "left").join(near, "concept_id", "left")
 
     def search_concepts(self, query: str, top_k: int = 10) -> DataFrame:
@@ -182,7 +184,10 @@ def summarize(chunks: DataFrame, sentences: int = 5) -> DataFrame:
     section = leaf.select(F.concat(F.lit("sum_"), "chunk_id").alias("summary_id"), "document_id", F.lit("section").alias("level"), F.col("chunk_id").alias("source_id"), F.concat(F.lit("sum_"), F.coalesce("parent_id", F.concat(F.lit("doc_"), "document_id"))).alias("parent_summary_id"), tx.lead("content", sentences).alias("content"), "sequence_position")
 
     def roll(rows: DataFrame, keys: list[str]) -> DataFrame:
-        first = F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("sequence_position", tx.lead("content", 1).alias("s")))), lambda x: x["s"]), 1, sentences), " ")
+        lead = tx.lead("content", 1).alias("s")
+        rows = rows.select(*keys, "sequence_position", lead)  # only the first few of a group are gathered
+        rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("sequence_position"), F.asc_nulls_first("s")))).where(F.col("__r") <= sentences)
+        first = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence_position", "s"))), lambda x: x["s"]), " ")
         return rows.groupBy(*keys).agg(first.alias("content"), F.min("sequence_position").alias("sequence_position"))
 
     chapter = roll(section.where(F.col("parent_summary_id") != F.concat(F.lit("sum_doc_"), "document_id")), ["parent_summary_id", "document_id"])

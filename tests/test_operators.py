@@ -192,3 +192,32 @@ def test_library(spark, chunks):
     assert lib.get_document_stats("d").head().total_chunks == 4 and lib.list_documents(["x"]).count() == 1
     s = summarize(chunks)
     assert {r.level for r in s.collect()} == {"section", "chapter", "document"} and graph.hierarchy(s).where("depth = 0").count() == 2
+
+
+def test_links_over_ranges_are_those_of_one_window(spark):
+    from foliant.operators import graph
+
+    rows = [(f"c{i:03}", "hot" if i % 3 else None if i % 2 else f"d{i % 5}", 2, i // 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "chunk_id string, document_id string, level int, sequence_position int").repartition(7)
+    got = {r.chunk_id: (r.prev_id, r.next_id) for r in graph.ordered_links(df, ["document_id", "level"], ["sequence_position", "chunk_id"], "chunk_id").collect()}
+    groups = {}
+    for c, d, _, n in sorted(rows, key=lambda r: (r[3], r[0])):
+        groups.setdefault(d, []).append(c)
+    want = {c: (g[i - 1] if i else None, g[i + 1] if i + 1 < len(g) else None) for g in groups.values() for i, c in enumerate(g)}
+    assert got == want and graph.ordered_links(df.limit(0), ["document_id", "level"], ["sequence_position"], "chunk_id").count() == 0
+
+
+def test_sections_of_long_documents(spark):
+    from foliant.operators import graph
+
+    s = spark.createDataFrame([("d", 0, 1, 0, 1000), ("d", 1, 2, 100, 400), ("d", 2, 3, 130, 130), ("e", 0, 1, 5, 4)], "doc_id string, section_no int, level int, start_line int, end_line int")
+    lines = spark.createDataFrame([("d", n) for n in (0, 99, 100, 130, 131, 400, 401, 1000, 1001)] + [("e", 5)], "doc_id string, line_no int")
+    got = {(r.doc_id, r.line_no): r.section_no for r in graph.section_of_line(s, lines).collect()}
+    assert got == {("d", 0): 0, ("d", 99): 0, ("d", 100): 1, ("d", 130): 2, ("d", 131): 1, ("d", 400): 1, ("d", 401): 0, ("d", 1000): 0}
+
+
+def test_central_sentences_of_a_long_text():
+    from foliant.functions.extract import central_sentences
+
+    text = " ".join(f"The clerk {w} counts stock item {i}." for i, w in enumerate(["daily", "weekly", "often", "seldom"] * 2000))
+    assert central_sentences(text, 3).count(".") == 3
