@@ -311,7 +311,7 @@ def near_duplicates(chunks: DataFrame, metadata: DataFrame, threshold: Fraction
     ranks = chunks.sparkSession.sparkContext.broadcast(run_counts(texts, run))
     rows = text_classes(texts, ranks, run, min_words)
     thin = latest(rows, ["chunk_id"], "ingested_at", [F.col("class").asc_nulls_last(), F.col("level")])
-    book = latest(metadata.select("chunk_id", "document_id", "ingested_at"), ["chunk_id"], "ingested_at").drop("ingested_at")
+    book = latest(metadata.select("chunk_id", "document_id", "ingested_at"), ["chunk_id"], "ingested_at", [F.col("document_id").asc_nulls_last()]).drop("ingested_at")
     members = thin.where("level = 2 AND class IS NOT NULL").select("chunk_id", "class").join(book.where("document_id IS NOT NULL"), "chunk_id")
     return members, similar_classes(texts.where("level = 2"), ranks, threshold, run, min_words)
 

@@ -144,7 +144,7 @@ def split_oversized(sections: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def _latest_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(read_table(spark, sf_dir, "sections").select("doc_id", "section_no", "content", "config_id", "parsed_at"), ["doc_id", "section_no"], "parsed_at")
+    return latest(read_table(spark, sf_dir, "sections").select("doc_id", "section_no", "content", "config_id", "parsed_at"), ["doc_id", "section_no"], "parsed_at", [F.xxhash64("content", "config_id")])
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
