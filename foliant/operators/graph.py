@@ -45,7 +45,8 @@ def ordered_links(rows: DataFrame, group: list[str], order: list[str], key: str)
     Rows are sorted over ranges, so a group of any size is spread over tasks; the ends of the ranges, one row a range,
     are handed to their neighbours."""
     by = [*group, *order, *([key] if key not in order else [])]
-    sorted_rows = rows.select(*dict.fromkeys(by)).repartitionByRange(*by).sortWithinPartitions(*by)
+    thin = cut_lineage(rows.select(*dict.fromkeys(by)))  # ranges are found by a pass of its own, which shall not make the rows again
+    sorted_rows = thin.repartitionByRange(*by).sortWithinPartitions(*by)
     parts = cut_lineage(sorted_rows.withColumn("__part", F.spark_partition_id()))
     w = Window.partitionBy("__part", *group).orderBy(*[F.asc(c) for c in by])
     ends = parts.groupBy("__part").agg(*[f(F.struct(*by)).alias(n) for n, f in (("first", F.min), ("last", F.max))]).orderBy("__part").collect()  # one row a range
