@@ -5,12 +5,14 @@ of its nearest ones. Within a file each vector is the order of its nearest among
 random, after what the file's members have in common is taken out of it (it would make all orders alike). Pairs are
 ranked by the footrule distance of these orders and cut where a pair as similar as asked would hardly ever lie; as the
 directions are random, how far that is follows from geometry, whatever the data (``least_weights``). Those left are
-compared by their cosine over 5-bit coordinates, and every pair that these, within a proven bound of their rounding,
+compared by their cosine over 5-bit or 3-bit coordinates, and every pair that these, within a proven bound of their rounding,
 leave possible is reranked by the cosine over 16-bit ones, which is within 1e-5 of the exact one. A file that leaves too
 many pairs to list is reranked as a whole, in blocks.
 
-Pivots are as many as the vectors ask for, up to a broadcast of fixed size, and are looked up in two levels. A file that
-is long all the same is compared in a few blocks, and one too long for these is divided by the first directions of its
+Pivots are as many as the vectors ask for, up to a broadcast of fixed size, and are looked up in two levels. The more there
+are, the less often two similar vectors have one of a few nearest in common, so how many files a vector is posted in is
+measured with these pivots (``postings``). Where they are many, coordinates are posted in 3 bits instead of 5, within a
+bound of their own. A file that is long all the same is compared in a few blocks, and one too long for these is divided by the first directions of its
 members' orders, so that a vector's postings never grow with the data. Equal vectors are one class up to the result.
 """
 
@@ -28,15 +30,18 @@ from foliant.common import cut_lineage, latest, read_table
 from foliant.llm.hashing import mix
 
 DIM, K, LEAST = 384, 5, 0.80
-POSTED = 3  # inverted files of each vector
+FEWEST, MOST_POSTED = 3, 32  # inverted files of each vector
+PARTED = 0.02  # share of pairs a quarter of the way from what is asked to equality that may have no file in common
+TRIED = 1024  # vectors besides the pivots with which that is measured
+LONG_CODES = 4  # inverted files up to which 5 bits a coordinate are posted
 DIRECTIONS, ORDER = 128, 40  # random pivots within a file, and how many of them are in a vector's order
 LOST = 0.003  # share of the pairs exactly as similar as asked that the footrule distance may part
-FILE = 512  # vectors to a pivot; the pivots are a sample of one in so many vectors,
+FILE = 256  # vectors to a pivot; the pivots are a sample of one in so many vectors,
 MOST_PIVOTS = 1 << 16  # and at most so many (25 MB as sent)
 SEARCHED = 2048  # pivots up to which all are compared with a vector; beyond, those of its nearest groups
-MOST_BLOCKS = 8  # of a file; a longer one is divided
+MOST_BLOCKS = 3  # of a file; a longer one is divided
 SUBFILES = 6  # of each vector in a divided file
-BLOCK = 6144  # members of a file in one block
+BLOCK = 16384  # members of a file in one block
 SLACK = 0.01  # cosines so far below what is asked, and a share of what rounding may turn, are near enough for the footrule distance
 ANGLE = 1 / 20_000  # unit of the angles by which 5-bit coordinates turn a vector, as posted
 LISTED = 32  # pairs a member up to which a file lists them; beyond, its members are reranked with one another
@@ -80,7 +85,7 @@ def _pivot_orders(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
 class Pivots:
     """Nearest pivots; many pivots stand in groups around some of them, of which the nearest ``groups`` are searched."""
 
-    def __init__(self, pivots: np.ndarray, searched: int = SEARCHED, groups: int = 6):
+    def __init__(self, pivots: np.ndarray, searched: int = SEARCHED, groups: int = 12):
         self.pivots, self.heads = pivots, None
         if len(pivots) > searched:
             count = int(np.sqrt(len(pivots))) + 1
@@ -100,9 +105,24 @@ class Pivots:
                 r = rows[a : a + 2048]
                 s = np.concatenate([best[r], x[r] @ self.pivots[own].T], axis=1)
                 i = np.concatenate([at[r], np.broadcast_to(own.astype(np.int32), (len(r), len(own)))], axis=1)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 best[r], at[r] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-        return at
+        return np.take_along_axis(at, np.argsort(-best, axis=1, kind="stable"), 1)
+
+
+def postings(pivots: Pivots, x: np.ndarray, least: float, parted: float = PARTED) -> int:
+    """In how many files vectors like ``x``, which are no pivots, must be posted for pairs to meet."""
+    most = min(MOST_POSTED, len(pivots.pivots))
+    if not len(x) or most <= FEWEST:
+        return min(FEWEST, most)
+    c = (1 + 3 * least) / 4
+    other = np.random.Generator(np.random.PCG64(13)).standard_normal(x.shape).astype(np.float32)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other *= np.sqrt(1 - c * c) / np.maximum(np.sqrt((other * other).sum(axis=1, keepdims=True)), 1e-9)
+    own, its = pivots.nearest(x, most), pivots.nearest(c * x + other, most)
+    met = np.maximum(np.arange(most)[:, None], np.arange(most)[None, :]) + 1  # postings from which two places count
+    met = np.where(own[:, :, None] == its[:, None, :], met, most + 1).min(axis=(1, 2))
+    return max(FEWEST, min(most, int(np.quantile(met, 1 - parted, method="higher"))))
 
 
 @cache
@@ -164,6 +184,27 @@ def unpack5(raw: np.ndarray, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+@cache
+def rotation(dim: int) -> np.ndarray:
+    return np.linalg.qr(np.random.Generator(np.random.PCG64(14)).standard_normal((dim, dim)))[0].astype(np.float32)
+
+
+STEP3 = 0.586  # of eight even steps, the one that turns normally distributed coordinates least
+
+
+def pack3(x: np.ndarray) -> np.ndarray:
+    """Unit vectors, turned at random so that coordinates of any data are alike, as three planes of one bit a coordinate."""
+    q = np.clip(np.floor(x @ rotation(x.shape[1]) * (np.sqrt(x.shape[1]) / STEP3)) + 4, 0, 7).astype(np.uint8)
+    return np.concatenate([np.packbits(q >> s & 1, axis=1) for s in (0, 1, 2)], axis=1)
+
+
+def unpack3(raw: np.ndarray, dim: int) -> np.ndarray:
+    """Unit vectors of pack3's rows, which stay turned."""
+    planes = np.unpackbits(raw.reshape(len(raw), 3, -1), axis=2, count=dim)
+    x = (planes[:, 0] | planes[:, 1] << 1 | planes[:, 2] << 2).astype(np.float32) - np.float32(3.5)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def turned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The angles between unit vectors and their rounded forms, in units of ANGLE, rounded up."""
     chord = np.sqrt(((x.astype(np.float64) - y) ** 2).sum(axis=1))
@@ -308,7 +349,7 @@ def subfiles(x: np.ndarray, file: np.ndarray, pivots: np.ndarray, depth: np.ndar
         yield far, part[far, j]
 
 
-def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: int = DIM, posted: int = POSTED, file: int = FILE) -> tuple[DataFrame, DataFrame]:
+def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: int = DIM, posted: int | None = None, file: int = FILE) -> tuple[DataFrame, DataFrame]:
     """(members (chunk_id, class), links (class, other, similarity)): for each class of equal usable vectors, similar
     classes with an exact cosine of at least ``least``, both ways, among which are its ``k`` nearest ones.
 
@@ -320,7 +361,7 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
     v = vectors.select("chunk_id", "embedded_at", "embedding")
     total = v.count()  # from the files' footers
     pivots_wanted = int(min(MOST_PIVOTS, max(16, total // file)))
-    chance = min(1.0, 1.3 * pivots_wanted / max(total, 1) + 64 / max(total, 1))
+    chance = min(1.0, 1.3 * (pivots_wanted + TRIED) / max(total, 1))
     limit = np.uint64(min(int(chance * 2.0**64), 2**64 - 1))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,10 +381,13 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
     read = cut_lineage(v.mapInArrow(thin, f"chunk_id {v.schema['chunk_id'].dataType.simpleString()}, embedded_at {ts}, class long, vec binary"))
     members = cut_lineage(latest(read.drop("vec"), ["chunk_id"], "embedded_at", [F.col("class").asc_nulls_last()]).where("class IS NOT NULL").select("chunk_id", "class"))
     # bounded: about 1.3 * MOST_PIVOTS vectors at most, of a byte a number
-    drawn = read.where("vec IS NOT NULL").dropDuplicates(["class"]).orderBy(F.xxhash64("class")).limit(pivots_wanted).select("vec").toPandas()
+    drawn = read.where("vec IS NOT NULL").dropDuplicates(["class"]).orderBy(F.xxhash64("class")).limit(pivots_wanted + TRIED).select("vec").toPandas()
+    tried, drawn = drawn.iloc[pivots_wanted:], drawn.iloc[:pivots_wanted]
     pivots = np.stack([np.frombuffer(b, np.int8) for b in drawn["vec"]]) if len(drawn) else np.zeros((1, dim), np.int8)
     searched = SEARCHED
-    m, whole = min(posted, len(pivots)), Pivots(_unit(pivots), searched)
+    whole = Pivots(_unit(pivots), searched)
+    m = postings(whole, _unit(np.stack([np.frombuffer(b, np.int8) for b in tried["vec"]])) if len(tried) else np.zeros((0, dim), np.float32), least) if posted is None else min(posted, len(pivots))
+    short = m > LONG_CODES
     share = np.bincount(whole.nearest(whole.pivots, m).ravel(), minlength=len(pivots)) / max(len(pivots), 1)
     plan = divisions(share * total)
     live = _filter(members.select("class"))
@@ -360,8 +404,8 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
             new = np.array([i for i, c in enumerate(cls.tolist()) if known[i] and c not in seen and not seen.add(c)], np.int64)
             x, cls = x[new], cls[new]
             o = whole.nearest(x, m)
-            packed = pack5(x)
-            turn = turned(x, unpack5(packed, dim)).reshape(-1, 1).view(np.uint8)
+            packed = pack3(x) if short else pack5(x)
+            turn = (turned(x @ rotation(dim), unpack3(packed, dim)) if short else turned(x, unpack5(packed, dim))).reshape(-1, 1).view(np.uint8)
             codes = pa.array([c.tobytes() for c in np.concatenate([turn, packed], axis=1)], pa.binary())
             for j in range(m):
                 for row, sub in subfiles(x, o[:, j], whole.pivots, plan[1]):
@@ -380,8 +424,8 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
         _, one = np.unique(cls, return_index=True)  # the same class from several tasks
         one = one[np.argsort(second[one], kind="stable")] if split else one
         cls, cut = cls[one], int((~second[one]).sum()) if split else 0
-        code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(-1, 2 - (-dim // 3) * 2)[one]
-        turn, vec = np.ascontiguousarray(code[:, :2]).view(np.uint16)[:, 0] * ANGLE, unpack5(code[:, 2:], dim)
+        code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(table.num_rows, -1)[one]
+        turn, vec = np.ascontiguousarray(code[:, :2]).view(np.uint16)[:, 0] * ANGLE, (unpack3 if short else unpack5)(code[:, 2:], dim)
         if split and cut in (0, len(cls)):
             x = y = np.zeros(0, np.int64)
         else:

@@ -166,3 +166,34 @@ def test_divided_files_and_grouped_pivots(spark, monkeypatch):
     assert nb.divisions(np.array([300.0, 3000.0]))[1].tolist() == [1, 2]
     got = found(spark, df, file=64)
     assert len(want) > 4000 and len(got & want) >= 0.95 * len(want)
+
+
+def test_postings_grow_with_the_pivots():
+    """Pairs with a cosine of 0.86 meet in a file among many pivots too, where three postings part many of them."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    centre = rng.standard_normal((10, nb.DIM))
+    drawn = lambda n: unit(0.6 * centre[rng.integers(10, size=n)] + 0.8 * rng.standard_normal((n, nb.DIM)))
+    x = drawn(1000)
+    y = unit(x + 0.6 * unit(rng.standard_normal(x.shape)))
+    needed = []
+    for n in (200, 6000):
+        pivots = nb.Pivots(drawn(n))
+        m = nb.postings(pivots, drawn(600), 0.8)
+        share = [(pivots.nearest(x, k)[:, :, None] == pivots.nearest(y, k)[:, None, :]).any(axis=(1, 2)).mean() for k in (m, nb.FEWEST)]
+        needed.append(m)
+        assert share[0] >= 0.96 and (n < 1000 or share[1] < 0.9)
+    assert nb.FEWEST <= needed[0] < needed[1] <= nb.MOST_POSTED
+
+
+def test_short_codes_lose_no_pair_of_a_file(spark):
+    for x in (dense(400, 0.95), dense(400, 0.8, spike=40.0), topics(2)):
+        y, turned = nb.unpack3(nb.pack3(x), nb.DIM), x @ nb.rotation(nb.DIM)
+        turn = nb.turned(turned, y) * nb.ANGLE
+        i, j = nb.compare_blocks(y, 0, 0.8, 5, turn)
+        want = pairs_by_force(x)
+        assert turn.max() < 0.3 and len(want & set(zip(i.tolist(), j.tolist(), strict=True))) >= 0.997 * len(want)
+    x = topics(2)
+    want = {(f"c{i:03}", f"c{j:03}") for i, j in pairs_by_force(x)}
+    got = found(spark, table(spark, [(f"c{i:03}", v.tolist(), T0) for i, v in enumerate(x)]), posted=nb.LONG_CODES + 8)
+    assert len(got & want) >= 0.99 * len(want)
