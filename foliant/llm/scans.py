@@ -3,7 +3,8 @@
 Method: an averaged perceptron edits words character by character (keep, replace, delete, insert) and decides at line ends
 (join, join with the hyphen, leave apart). It is trained here: words that no clean book has are aligned with their only
 near neighbour in the clean vocabulary, which gives the confusions of these scans; clean words and numbers spoiled with
-them, and clean words divided anywhere, are the training data. Decoding ranks the edits of a word by the weights of their
+them, and clean words divided anywhere, are the training data. Every unknown word is counted and every clean word is in a
+lesson; where these are too many for one perceptron, parts of the words train one each and the weights are averaged. Decoding ranks the edits of a word by the weights of their
 operations in context; those without weight in their favour are out, and the first that gives a word of the vocabulary
 (numbers: digits throughout) is made. Without weights nothing is mended and nothing is joined.
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from foliant.common import cut_lineage, latest, read_table
 
 VOCABULARY = 200_000  # most frequent words that are sent to every task; pages get their own share of the others by a join
-SAMPLE = 20_000  # unknown words, by hash, from which confusions are learned
-LESSONS = 6_000  # spoiled words, and as many divided ones at most, on which the perceptron is trained
+PART = 6_000  # words from which one perceptron is trained; of more words each part trains one
+LESSONS = 6_000  # spoiled words, and as many divided ones, drawn for a perceptron, besides one of each word not drawn
 KNOWN, SURE = 2, 5  # occurrences from which a word of clean text counts as right, and from which others may be taken for it
 OWN = 0.02  # share of a word's count from which an unknown word like it counts as a word of its own
 REPEATED, NUMBERED = 3, 2  # chunks of a book that have a running line, whatever the book's length; one with a page number
@@ -209,27 +210,44 @@ class Editor:
     def neighbours(self, w: str) -> dict[str, tuple[str, str]]:
         """Vocabulary words one confusion away: (what is seen, what is meant)."""
         if not self.confusions:
-            pairs = [(w[:i] + x + w[i + 1 :], (w[i], x)) for i in range(len(w)) for x in "abcdefghijklmnopqrstuvwxyz"]
-            pairs += [(w[:i] + x + w[i + 2 :], (w[i : i + 2], x)) for i in range(len(w) - 1) for x in "abcdefghijklmnopqrstuvwxyz"]
-            pairs += [(w[:i] + x + w[i + 1 :], (w[i], x)) for i in range(len(w)) for x in ("rn", "cl", "vv", "ii", "ri", "li", "in", "nn", "fi", "fl", "")]
-        else:
-            pairs = []
-            for seen, meant in self.confusions:
-                at = w.find(seen)
-                while at >= 0:
-                    pairs.append((w[:at] + meant + w[at + len(seen) :], (seen, meant)))
-                    at = w.find(seen, at + 1)
+            return {x: p for x, p in self.spellings(w).items() if self.vocabulary.get(x, 0) >= SURE}
+        pairs = []
+        for seen, meant in self.confusions:
+            at = w.find(seen)
+            while at >= 0:
+                pairs.append((w[:at] + meant + w[at + len(seen) :], (seen, meant)))
+                at = w.find(seen, at + 1)
         return {x: p for x, p in pairs if self.vocabulary.get(x, 0) >= SURE and x != w}
 
+    @staticmethod
+    def spellings(w: str) -> dict[str, tuple[str, str]]:
+        """What may be meant by a word with one misreading of any kind."""
+        pairs = [(w[:i] + x + w[i + 1 :], (w[i], x)) for i in range(len(w)) for x in "abcdefghijklmnopqrstuvwxyz"]
+        pairs += [(w[:i] + x + w[i + 2 :], (w[i : i + 2], x)) for i in range(len(w) - 1) for x in "abcdefghijklmnopqrstuvwxyz"]
+        pairs += [(w[:i] + x + w[i + 1 :], (w[i], x)) for i in range(len(w)) for x in ("rn", "cl", "vv", "ii", "ri", "li", "in", "nn", "fi", "fl", "")]
+        return {x: p for x, p in pairs if x != w}
+
     def learn(self, unknown: list[tuple[str, int]], rounds: int = 4, seed: int = 5) -> None:
         """Confusions from unknown words with counts, then weights from clean words spoiled with them."""
+        seen = self.count_confusions(unknown)
+        self.settle(seen, sum(seen.values()))
+        self.learn_edits(self.vocabulary, rounds, seed)
+        self.learn_line_ends(self.vocabulary, rounds, seed)
+
+    def count_confusions(self, unknown: Iterable[tuple[str, int]]) -> Counter:
+        """(what is seen, what is meant) of the words with only one near neighbour."""
         seen: Counter = Counter()
         for w, n in unknown:
             if len(w) >= 4:
                 found = self.neighbours(w)
                 if len(found) == 1:
                     seen[next(iter(found.values()))] += min(n, 5)
-        least = max(2, 0.005 * sum(seen.values()))
+        return seen
+
+    def settle(self, seen: dict[tuple[str, str], int], total: int) -> None:
+        """The confusions, of those seen (at least twice) and their ``total``."""
+        seen = dict(sorted(seen.items(), key=lambda e: (-e[1], e[0])))
+        least = max(2, 0.005 * total)
         # a confusion that these scans make one way may be rare the other way
         usual = {p for p, n in seen.items() if n >= least}
         self.confusions = {p: n for p, n in seen.items() if p[0] and (p in usual or n >= 2 and (p[::-1] in usual or not p[0].isascii()))}
@@ -238,23 +256,28 @@ class Editor:
             ops = self.operations(x, y)
             if ops:
                 self.inventory.setdefault(x[0], []).append((x, y, ops))
-        rng = np.random.default_rng(seed)
-        words = [w for w in sorted(self.vocabulary, key=lambda w: (-self.vocabulary[w], w)) if w.isalpha() and len(w) > 2]
-        self._learn_edits(words, rng, rounds)
-        self._learn_line_ends(words, rng, rounds)
 
-    def _learn_edits(self, words: list[str], rng: np.random.Generator, rounds: int) -> None:
+    @staticmethod
+    def _plain(counts: dict[str, int]) -> list[str]:
+        return [w for w in sorted(counts, key=lambda w: (-counts[w], w)) if w.isalpha() and len(w) > 2]
+
+    def learn_edits(self, counts: dict[str, int], rounds: int = 4, seed: int = 5) -> None:
+        rng, words = np.random.default_rng(seed), self._plain(counts)
         lessons = []  # (what is seen, right edits, other edits)
         pairs = [p for p in self.confusions if p[1]]
         chance = np.sqrt([self.confusions[p] for p in pairs])  # rare confusions are learned too
         chance = chance / (2 * chance.sum() or 1) + 0.5 / max(1, len(pairs))
-        some = [words[i] for i in rng.permutation(len(words))[:LESSONS]]
-        having = {m: own for m in {m for _, m in pairs} if (own := [w for w in some if m in w])}
+        having = {m: own for m in {m for _, m in pairs} if (own := [w for w in words if m in w])}
+        drawn = []  # (what is seen, what is meant, the word)
         for _ in range(min(LESSONS, 40 * len(pairs) + 3 * len(words)) if pairs else 0):
             s, m = pairs[rng.choice(len(pairs), p=chance)]
-            if m not in having:
-                continue
-            w = having[m][rng.integers(len(having[m]))]
+            if m in having:
+                drawn.append((s, m, having[m][rng.integers(len(having[m]))]))
+        for w in sorted(set(words) - {w for *_, w in drawn}):  # each word is in a lesson, if it can be spoiled
+            fit = [p for p in pairs if p[1] in w]
+            if fit:
+                drawn.append((*fit[rng.integers(len(fit))], w))
+        for s, m, w in drawn:
             at = [i for i in range(len(w)) if w.startswith(m, i)]
             i = at[rng.integers(len(at))]
             seen = w[:i] + s + w[i + len(m) :]
@@ -299,12 +322,13 @@ class Editor:
         mended = "" if whole or parted or part else f"{self.fix(left + right) is not None:d}{self.fix(f'{left}-{right}') is not None:d}"
         return [f"s{state}", f"m{state}{mended}", f"k{state}{sides}{mended}", f"r{right in _SUSPENDED}", f"a{right[:1].isalpha()}"]
 
-    def _learn_line_ends(self, words: list[str], rng: np.random.Generator, rounds: int) -> None:
-        parted = [w for w in sorted(self.vocabulary) if w.count("-") == 1 and all(map(str.isalpha, w.split("-")))]
+    def learn_line_ends(self, counts: dict[str, int], rounds: int = 4, seed: int = 5) -> None:
+        rng, words = np.random.default_rng(seed + 1), self._plain(counts)
+        parted = [w for w in sorted(counts) if w.count("-") == 1 and all(map(str.isalpha, w.split("-")))]
         long = [w for w in words if len(w) >= 5]
         lessons, halves = [], [w.split("-") for w in parted]
-        for _ in range(min(LESSONS, 3 * len(long))):
-            w = long[rng.integers(len(long))]
+        drawn = [long[rng.integers(len(long))] for _ in range(min(LESSONS, 3 * len(long)))]
+        for w in [*drawn, *sorted(set(long) - set(drawn))]:
             i = int(rng.integers(2, len(w) - 1))
             lessons.append((w[:i], w[i:], w if rng.random() < 0.2 else "", "join"))
             if rng.random() < 0.3:  # the whole has a misread character besides
@@ -555,17 +579,76 @@ def _count_words(df: DataFrame) -> DataFrame:
     return df.select("content").mapInPandas(count, "word string, n long").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _confusions(editor: Editor, words: DataFrame, strange: DataFrame, more: bool) -> DataFrame:
+    """(seen, meant, n) over all unknown words; ``more`` says that the editor hasn't all ``words``, which are then joined."""
+    bare = strange.sparkSession.sparkContext.broadcast(editor)
+    unknown = strange.where(F.length("word") >= 4)
+    if not more:
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                seen = bare.value.count_confusions(pdf[["word", "n"]].itertuples(index=False))
+                yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["seen", "meant", "n"])
+
+        found = unknown.mapInPandas(count, "seen string, meant string, n long")
+    else:
+
+        def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for some in (pdf.iloc[a : a + 200] for a in range(0, len(pdf), 200)):
+                    yield pd.DataFrame([(w, n, x, a, b) for w, n in some[["word", "n"]].itertuples(index=False) for x, (a, b) in Editor.spellings(w).items()], columns=["of", "n", "word", "seen", "meant"])
+
+        sure = words.where(F.col("n") >= SURE).select("word").where("word NOT RLIKE '[0-9]' AND length(word) > 1 OR word IN ('a', 'i')")
+        near = unknown.mapInPandas(spell, "of string, n long, word string, seen string, meant string").join(sure, "word")
+        found = near.groupBy("of").agg(F.count("*").alias("words"), F.first("seen").alias("seen"), F.first("meant").alias("meant"), F.least(F.first("n"), F.lit(5)).alias("n")).where("words = 1")
+    return found.groupBy("seen", "meant").agg(F.sum("n").alias("n"))
+
+
+def _lesson(step: str, shared) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Trains a perceptron on a part (word, n, part) of the words: (feature, op, weight times updates), and the updates."""
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole, own = shared.value, {w: int(n) for w, n in pdf[["word", "n"]].itertuples(index=False)}
+        e = Editor(whole.vocabulary | own)
+        e.confusions, e.inventory = whole.confusions, whole.inventory
+        e.model.weights = dict(whole.model.weights)
+        getattr(e, step)(own, seed=5 + int(pdf["part"].iloc[0]))
+        got = e.model if step == "learn_edits" else e.line_ends
+        return pd.DataFrame([*((f, op, w * got._t) for (f, op), w in got.weights.items()), ("", "", float(got._t))], columns=["feature", "op", "weight"])
+
+    return learn
+
+
+def _learn_from_all(editor: Editor, words: DataFrame, strange: DataFrame, more: bool) -> None:
+    """Confusions from all ``strange`` words, weights from all ``words``: parts of PART words train a perceptron each,
+    and the weights are averaged."""
+    seen = cut_lineage(_confusions(editor, words, strange, more))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    editor.settle({(a, b): int(n) for a, b, n in seen.where("n >= 2").collect()}, total)  # as many as scans have pairs of characters
+    parts = -(-words.count() // PART)
+    if parts <= 1 and not more:
+        editor.learn_edits(editor.vocabulary)
+        editor.learn_line_ends(editor.vocabulary)
+        return
+    divided = words.where("word NOT RLIKE '[0-9]'").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
+    for step, model in (("learn_edits", editor.model), ("learn_line_ends", editor.line_ends)):
+        shared = strange.sparkSession.sparkContext.broadcast(editor)
+
+        mixed = divided.groupBy("part").applyInPandas(_lesson(step, shared), "feature string, op string, weight double").groupBy("feature", "op").agg(F.sum("weight").alias("weight")).collect()
+        whole = next((r.weight for r in mixed if not r.op), 0.0)
+        model.weights = {(r.feature, r.op): r.weight / whole for r in mixed if r.op and whole}
+
+
 def train(pages: DataFrame, clean: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Editor, DataFrame | None]:
-    """(an editor for these pages, right words that it doesn't know). Words of clean text are the vocabulary, the pages'
-    other words teach confusions. The ``vocabulary`` most frequent words go into the editor, which is sent to all tasks;
+    """(an editor for these pages, right words that it doesn't know). Words of clean text are the vocabulary, all of the
+    pages' other words teach confusions, all words of clean text edits and line ends. The ``vocabulary`` most frequent words go into the editor, which is sent to all tasks;
     None means that these are all."""
     words = cut_lineage(_count_words(clean).where(F.col("n") >= KNOWN))
     top = words.orderBy(F.desc("n"), "word").limit(vocabulary + 1).toPandas()
     more, top = len(top) > vocabulary, top.iloc[:vocabulary]
     editor = Editor({w: int(n) for w, n in top.itertuples(index=False) if len(w) > 1 and not any(map(str.isdigit, w)) or w in ("a", "i")})
     strange = cut_lineage(_count_words(pages).join(words, "word", "left_anti"))
-    unknown = strange.orderBy(F.xxhash64("word")).limit(SAMPLE).toPandas()
-    editor.learn([(w, int(n)) for w, n in unknown.itertuples(index=False)])
+    _learn_from_all(editor, words, strange, more)
     shared = pages.sparkSession.sparkContext.broadcast(editor)
 
     def own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

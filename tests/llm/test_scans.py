@@ -124,3 +124,35 @@ def test_words_beyond_the_vocabulary_sent_to_tasks_count_as_right(spark):
     rows = sc.with_rare_words(p, right, shared).collect()
     assert len(rows) == 6 and all(set(r.known) >= {"hcdger"} and "ledger" not in r.known for r in rows)
     assert sc.faults(rows[0].content, [], None, False, e, frozenset(rows[0].known))[-1] != (0, "misread", "hcdger")
+
+
+def scan_of(spark, clean, pages):
+    chunks = spark.createDataFrame(book(clean, "c") + book(pages), "chunk_id string, content string, level int, next_id string, ingested_at timestamp")
+    meta = spark.createDataFrame([(f"{b}_l2_{i}", b, T0) for b, n in (("c", len(clean)), ("b", len(pages))) for i in range(n)], "chunk_id string, document_id string, ingested_at timestamp")
+    return sc.scanned_pages(chunks, meta)
+
+
+def test_every_unknown_word_teaches(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=28)) for _ in range(750)]
+    odd = {c: chr(0x3B1 + i) for i, c in enumerate("abcdefghijklmnop")} | {c: chr(0x430 + i) for i, c in enumerate("qrstuvwxyz")}
+    spoiled = sorted({w[:i] + odd[w[i]] + w[i + 1 :] for w in words for i in range(28)})
+    pages = [" ".join(spoiled[a : a + 500]) + f"\n- {a} -" for a in range(0, len(spoiled), 500)]
+    e, _ = sc.train(*scan_of(spark, [" ".join(words)] * 5, pages))
+    assert len(spoiled) == 21_000 and sum(e.confusions.values()) == 21_000
+
+
+def test_training_in_parts_and_beyond_the_vocabulary_sent(spark, monkeypatch):
+    """Words that the editor isn't sent teach confusions too, and parts of the words train one perceptron."""
+    rng = random.Random(2)
+    clean = [" ".join(WORDS * 250) + "."] * 8
+    pages = [" ".join(spoil(rng.choice(WORDS), rng) for _ in range(60)) + f"\n- {i} -" for i in range(12)]
+    p, c = scan_of(spark, clean, pages)
+    whole, _ = sc.train(p, c)
+    few, right = sc.train(p, c, vocabulary=8)
+    assert few.confusions == whole.confusions and len(whole.confusions) > 4 and right is not None
+    monkeypatch.setattr(sc, "PART", 10)
+    parts, _ = sc.train(p, c)
+    assert parts.confusions == whole.confusions
+    cases = [(s, w) for w in WORDS * 4 if (s := spoil(w, rng)) != w]
+    assert sum(parts.fix(s) == w for s, w in cases) >= 0.9 * len(cases) and parts.join("ware", "house") == "warehouse" and parts.join("first", "and") is None
