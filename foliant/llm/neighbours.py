@@ -14,10 +14,15 @@ are, the less often two similar vectors have one of a few nearest in common, so
 measured with these pivots (``postings``). Where they are many, coordinates are posted in 3 bits instead of 5, within a
 bound of their own. A file that is long all the same is compared in a few blocks, and one too long for these is divided by the first directions of its
 members' orders, so that a vector's postings never grow with the data. Equal vectors are one class up to the result.
+
+Files of pivots that lie near one another form a region, which one task compares file by file: a vector's code is sent
+once to each region that it has files in, with the numbers of these files, not once to each file (``regions``).
 """
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 from functools import cache
 
@@ -42,6 +47,8 @@ SEARCHED = 2048  # pivots up to which all are compared with a vector; beyond, th
 MOST_BLOCKS = 3  # of a file; a longer one is divided
 SUBFILES = 6  # of each vector in a divided file
 BLOCK = 16384  # members of a file in one block
+REGION = 1 << 17  # postings to files that one task has at once
+REGIONS = 4  # for each core at least, where the data are few
 SLACK = 0.01  # cosines so far below what is asked, and a share of what rounding may turn, are near enough for the footrule distance
 ANGLE = 1 / 20_000  # unit of the angles by which 5-bit coordinates turn a vector, as posted
 LISTED = 32  # pairs a member up to which a file lists them; beyond, its members are reranked with one another
@@ -349,6 +356,49 @@ def subfiles(x: np.ndarray, file: np.ndarray, pivots: np.ndarray, depth: np.ndar
         yield far, part[far, j]
 
 
+def regions(pivots: np.ndarray, sizes: np.ndarray, most: float) -> np.ndarray:
+    """The region of each pivot's file: pivots are halved along the direction in which they differ most until the files
+    of a part have at most ``most`` members together, or are one."""
+    out, todo, count = np.zeros(len(pivots), np.int64), [np.arange(len(pivots))], 0
+    while todo:
+        i = todo.pop()
+        if len(i) <= 1 or sizes[i].sum() <= most:
+            out[i], count = count, count + 1
+            continue
+        y = pivots[i] - pivots[i].mean(axis=0)
+        along = y[np.argmax((y * y).sum(axis=1))]
+        for _ in range(20):
+            along = (y @ along) @ y
+            along = along / max(np.sqrt((along * along).sum()), 1e-30)
+        o = i[np.argsort(y @ along, kind="stable")]
+        filled = np.cumsum(sizes[o])
+        half = int(np.clip(np.searchsorted(filled, filled[-1] / 2), 1, len(i) - 1))
+        todo += [o[:half], o[half:]]
+    return out
+
+
+def by_region(files: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(rows, regions, files in these) of vectors posted in ``files``; files whose region is negative are left out."""
+    row, place = np.nonzero(region[files] >= 0)
+    file = files[row, place].astype(np.int32)
+    o = np.lexsort((region[file], row))
+    row, file = row[o], file[o]
+    of = region[file]
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (of[1:] != of[:-1])])[: len(row)])
+    ends = np.concatenate([first, [len(row)]]).astype(np.int32) * 4
+    return row[first], of[first], pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(file)])
+
+
+def files_within(posted: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray]]:
+    """(file, rows posted in it) of a region's rows, each with the files that by_region gave it."""
+    files = posted.to_pylist()
+    file, row = np.frombuffer(b"".join(files), np.int32), np.repeat(np.arange(len(files)), [len(f) // 4 for f in files])
+    o = np.argsort(file, kind="stable")
+    ends = np.flatnonzero(np.diff(file[o], append=-1)) + 1
+    for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+        yield int(file[o[a]]), row[o[a:b]]
+
+
 def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: int = DIM, posted: int | None = None, file: int = FILE) -> tuple[DataFrame, DataFrame]:
     """(members (chunk_id, class), links (class, other, similarity)): for each class of equal usable vectors, similar
     classes with an exact cosine of at least ``least``, both ways, among which are its ``k`` nearest ones.
@@ -390,11 +440,14 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
     short = m > LONG_CODES
     share = np.bincount(whole.nearest(whole.pivots, m).ravel(), minlength=len(pivots)) / max(len(pivots), 1)
     plan = divisions(share * total)
+    together = (plan[0] == 1) & (plan[1] == 0)  # the others are parted by their blocks and parts
+    region = np.full(len(pivots), -1, np.int64)
+    region[together] = regions(whole.pivots[together], (share * total)[together], min(REGION, total * m / (REGIONS * spark.sparkContext.defaultParallelism)))
     live = _filter(members.select("class"))
-    shared = spark.sparkContext.broadcast((pivots, plan, live))
+    shared = spark.sparkContext.broadcast((pivots, plan, live, region))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, plan, live = shared.value
+        pivots, plan, live, region = shared.value
         whole = Pivots(_unit(pivots), searched)
         seen: set[int] = set()  # equal vectors within a task; bounded by the task's own input
         for batch in batches:
@@ -407,37 +460,51 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
             packed = pack3(x) if short else pack5(x)
             turn = (turned(x @ rotation(dim), unpack3(packed, dim)) if short else turned(x, unpack5(packed, dim))).reshape(-1, 1).view(np.uint8)
             codes = pa.array([c.tobytes() for c in np.concatenate([turn, packed], axis=1)], pa.binary())
+            row, of, files = by_region(o, region)
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - of), pa.array(cls[row]), codes.take(pa.array(row)), files], ["file", "class", "code", "files"])
             for j in range(m):
                 for row, sub in subfiles(x, o[:, j], whole.pivots, plan[1]):
+                    own = region[o[row, j]] < 0
+                    row, sub = row[own], sub[own]
                     nb = plan[0][o[row, j]]
                     own = (cls[row].view(np.uint64) % nb.astype(np.uint64)).astype(np.int64)
                     i = np.repeat(np.arange(len(row)), nb)  # block b meets block t of the same file in the task {b, t}
                     t = np.arange(len(i)) - np.repeat(np.concatenate([[0], np.cumsum(nb)[:-1]]), nb) if len(i) else i
                     lo, hi = np.minimum(own[i], t), np.maximum(own[i], t)
                     key = (o[row, j][i].astype(np.int64) << 40) | (sub[i] << 16) | (lo << 8) | hi
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[row][i]), codes.take(pa.array(row[i]))], ["file", "class", "code"])
+                    if len(key):
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[row][i]), codes.take(pa.array(row[i])), pa.array([b""] * len(key))], ["file", "class", "code", "files"])
 
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        cls, file = table["class"].to_numpy(), key[0].as_py()
+        """Of a region (negative) or of blocks of one file."""
+        file, cls = key[0].as_py(), table["class"].to_numpy()
+        code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        if file >= 0:
+            return compared(file, cls, code)
+        return pa.concat_tables([compared(f << 40, cls[rows], code[rows]) for f, rows in files_within(table["files"])])
+
+    def compared(file: int, cls: np.ndarray, code: np.ndarray) -> pa.Table:
         lo, split = (file >> 8) & 0xFF, (file >> 8) & 0xFF != file & 0xFF
         second = (cls.view(np.uint64) % np.uint64(shared.value[1][0][file >> 40])).astype(np.int64) != lo
         _, one = np.unique(cls, return_index=True)  # the same class from several tasks
         one = one[np.argsort(second[one], kind="stable")] if split else one
         cls, cut = cls[one], int((~second[one]).sum()) if split else 0
-        code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(table.num_rows, -1)[one]
+        code = code[one]
         turn, vec = np.ascontiguousarray(code[:, :2]).view(np.uint16)[:, 0] * ANGLE, (unpack3 if short else unpack5)(code[:, 2:], dim)
         if split and cut in (0, len(cls)):
             x = y = np.zeros(0, np.int64)
         else:
             got = compare_blocks(vec, cut, least, k, turn, LISTED * len(cls))
             x, y = (np.arange(len(cls)),) * 2 if got is None else got  # a member with itself: all are compared when reranked
-        return pa.table({"file": pa.array(np.full(len(x), key[0].as_py(), np.int64)), "class_1": pa.array(np.minimum(cls[x], cls[y])), "class_2": pa.array(np.maximum(cls[x], cls[y]))})
+        return pa.table({"file": pa.array(np.full(len(x), file, np.int64)), "class_1": pa.array(np.minimum(cls[x], cls[y])), "class_2": pa.array(np.maximum(cls[x], cls[y]))})
 
-    posts = v.select("embedding").mapInArrow(post, "file long, class long, code binary")
+    posts = v.select("embedding").mapInArrow(post, "file long, class long, code binary, files binary")
     pairs = posts.groupBy("file").applyInArrow(search, "file long, class_1 long, class_2 long")
     whole = F.when(F.col("class_1") == F.col("class_2"), F.col("file")).alias("whole")  # stays with each such file
     pairs = cut_lineage(pairs.groupBy("class_1", "class_2", whole).agg(F.min("file").alias("file")).drop("whole"))
     needed = spark.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("class_1", "class_2")).alias("class"))))
+    if total * m > REGION:
+        _tidy(spark)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -481,6 +548,14 @@ def similar_vectors(vectors: DataFrame, k: int = K, least: float = LEAST, dim: i
     return members, done.unionByName(done.select(F.col("other").alias("class"), F.col("class").alias("other"), "similarity"))
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of results that are cut off, the postings. It does so when the driver's garbage is
+    collected, which may not happen before the end, and until then they take disk beside those of the next steps."""
+    gc.collect()
+    time.sleep(1.2)  # py4j lets go of plans that Python has dropped once a second
+    spark.sparkContext._jvm.System.gc()
+
+
 def _filter(classes: DataFrame) -> np.ndarray:
     """A bit table of fixed size of the classes' low bits."""
     b = F.pmod("class", F.lit(FILTER_BITS))

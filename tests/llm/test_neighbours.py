@@ -1,4 +1,6 @@
 import datetime as dt
+import time
+from pathlib import Path
 
 import numpy as np
 
@@ -197,3 +199,63 @@ def test_short_codes_lose_no_pair_of_a_file(spark):
     want = {(f"c{i:03}", f"c{j:03}") for i, j in pairs_by_force(x)}
     got = found(spark, table(spark, [(f"c{i:03}", v.tolist(), T0) for i, v in enumerate(x)]), posted=nb.LONG_CODES + 8)
     assert len(got & want) >= 0.99 * len(want)
+
+
+def test_regions_hold_every_posting():
+    x = topics(groups=150, size=1)
+    pivots, size = nb.Pivots(x[::10]), np.linspace(1, 50, len(x[::10]))
+    region = nb.regions(pivots.pivots, size, 400)
+    held = np.bincount(region, weights=size)
+    assert (held <= 400).all() and size.sum() / 400 <= len(held) < 3 * size.sum() / 400
+    same = nb.regions(np.tile(x[:1], (50, 1)), np.full(50, 100.0), 150)
+    assert len(set(same.tolist())) == 50  # files that are too long together stand alone
+    region[:5] = -1
+    files = pivots.nearest(x, 8)
+    row, of, held = nb.by_region(files, region)
+    assert len(row) < 0.6 * files.size and len(set(zip(row.tolist(), of.tolist(), strict=True))) == len(row)
+    got = [(int(of[at]), f, int(row[at])) for r in np.unique(of) for own in [np.flatnonzero(of == r)] for f, rows in nb.files_within(held.take(nb.pa.array(own))) for at in own[rows]]
+    want = {(int(region[f]), f, i) for i, fs in enumerate(files.tolist()) for f in fs if f >= 5}
+    assert len(got) == len(want) and set(got) == want
+    none = nb.by_region(files[:0], region)
+    assert [len(z) for z in none] == [0, 0, 0]
+
+
+def shuffled(spark):
+    dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+    return {p: p.stat().st_size for d in dirs for p in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def test_a_code_is_sent_once_a_region(spark, monkeypatch):
+    """Of 8 postings a vector, most stand in few regions; nothing is near enough to be reranked."""
+    x = topics(groups=150, size=1)
+    df = table(spark, [(f"c{i:04}", v.tolist(), T0) for i, v in enumerate(x)])
+    before, sizes, tidy = shuffled(spark), [], nb._tidy
+    monkeypatch.setattr(nb, "_filter", lambda c, f=nb._filter: (sizes.append(sum(v for p, v in shuffled(spark).items() if p not in before)), f(c))[1])
+    nb.similar_vectors(df, file=16, posted=8)
+    assert len(sizes) == 2 and 100_000 < sizes[1] < 0.75 * len(x) * 8 * 258
+    gone = []
+
+    def tidied(s):
+        own = [p for p in shuffled(s) if p not in before]
+        most = max(own, key=lambda p: p.stat().st_size)
+        tidy(s)
+        for _ in range(50):
+            if most.exists():
+                time.sleep(0.1)
+        gone.append(not most.exists())
+
+    monkeypatch.setattr(nb, "_tidy", tidied)
+    monkeypatch.setattr(nb, "REGION", 1000)
+    nb.similar_vectors(df, file=16, posted=8)
+    assert gone == [True]
+
+
+def test_regions_change_no_result(spark, monkeypatch):
+    x = topics()
+    df = table(spark, [(f"c{i:04}", v.tolist(), T0) for i, v in enumerate(x)])
+    want = {(f"c{i:04}", f"c{j:04}") for i, j in pairs_by_force(x)}
+    got = []
+    for parts in (0.1, 1000):
+        monkeypatch.setattr(nb, "REGIONS", parts)
+        got.append(found(spark, df, file=32, posted=4))
+    assert got[0] == got[1] and len(got[0] & want) >= 0.97 * len(want)
